@@ -27,19 +27,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each edge hangs a node (a) on a root (b): every a once, and no b also an a."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("hung"), F.lit(0).alias("root")).union(edges.select("b", F.lit(0), F.lit(1)))
+    per_node = ends.groupBy("n").agg(F.sum("hung").alias("hung"), F.max("root").alias("root"))
+    return per_node.where("hung + root > 1").agg(F.count("*")).first()[0] == 0
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node that each node of an edge can reach. Nodes without an edge are not listed.
 
     Nulls and loops are ignored; edges may repeat and point either way. Each round is a written table; the number of
     rounds grows with the logarithm of the longest path.
     """
-    now = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(), "edges")
-    before = None
-    while True:
-        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if before == (mark.n, mark.s) or not mark.n:
-            break
-        before = (mark.n, mark.s)
+    ends = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    now = written(ends.distinct(), "edges")
+    while not _are_stars(now):
         after = written(_star(_star(now, True), False), "edges")
         drop(now)
         now = after

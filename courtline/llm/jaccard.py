@@ -26,8 +26,8 @@ from courtline.llm.exchange import Distinct, Runs, chunk_of, chunked, pack_bits,
 from courtline.llm.hashing import mix
 
 SHINGLE, PERCENT = 5, 75
-#: Star rounds go on while full joins across components would make more pairs than this many times the prefix rows.
-_FULL_FROM, _MOST_ROUNDS = 4, 8
+#: Star rounds go on while the join across components would compare more pairs than this many times the prefix rows.
+_FULL_FROM, _MOST_ROUNDS = 64, 5
 _ASKED = "chunk int, bucket int, hashes binary, times binary"
 _ANSWERED = "chunk int, bucket int, found binary, times binary, doc bigint, low bigint"
 _SETS = "doc bigint, size int, grams binary, prefix array<struct<gram:bigint,pos:int>>"

@@ -11,7 +11,6 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "va
 TRACKING = "^(utm_[a-z]+|gclid|fbclid|ref|sessionid|phpsessid|sid)(=|$)"
 #: Seconds of captures that one task sorts for one URL.
 SLICE_SECONDS = 3600
-_VALIDATORS = "etag string, last_modified string, digest string"
 
 
 def canonical_url(url: Column) -> Column:
