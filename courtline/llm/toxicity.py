@@ -48,6 +48,8 @@ class Index:
     def __init__(self, terms: dict[bytes, int], idf: np.ndarray, rows: list[tuple[int, int, dict[int, int]]]) -> None:
         """rows: (id, label, {term number: count}); those without a known term are only counted."""
         self.terms, self.idf = terms, idf
+        #: first bytes of the prefix terms: most words differ there already
+        self.heads = {t[1 : PREFIX + 1] for t in terms if t.startswith(b"^")}
         full = sorted((r for r in rows if r[2]), key=lambda r: (min(r[2], key=lambda t: (-idf[t], t)), r[0]))  # like rows share blocks
         self.ids = np.array([r[0] for r in full], np.int64)
         self.labels = np.array([r[1] for r in full], np.float64)
@@ -135,21 +137,15 @@ class Index:
         return memo[key]
 
     def counts(self, raw: bytes | None) -> dict[int, int]:
-        """Counts of the known terms; the vocabulary's words and prefixes are met word by word."""
-        terms, out = self.terms, {}
-        for word, n in Counter(words_of(raw)).items():
-            if (t := terms.get(word)) is not None:
-                out[t] = out.get(t, 0) + n
-            if len(word) > PREFIX and word[:PREFIX] in self.heads() and (t := terms.get(prefix_term(word))) is not None:
-                out[t] = out.get(t, 0) + n
+        """Counts of the known terms, words and prefixes alike."""
+        known, terms = Counter(words_of(raw)), self.terms
+        out = {terms[w]: known[w] for w in known.keys() & terms.keys()}
+        heads = self.heads
+        for word in [w for w in known if w[:PREFIX] in heads]:
+            if len(word) > PREFIX and (t := terms.get(prefix_term(word))) is not None:
+                out[t] = out.get(t, 0) + known[word]
         return out
 
-    def heads(self) -> set[bytes]:
-        """First bytes of the prefix terms: most words differ there already."""
-        if not hasattr(self, "_heads"):
-            self._heads = {t[1 : PREFIX + 1] for t in self.terms if t.startswith(b"^")}
-        return self._heads
-
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, max_rows: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> Index:
     """The index over a sample of at most `max_rows` labelled rows, chosen by a hash of the id.
