@@ -27,7 +27,7 @@ from courtline.llm.hashing import mix
 
 SHINGLE, PERCENT = 5, 75
 #: Star rounds go on while the join across components would compare more pairs than this many times the prefix rows.
-_FULL_FROM, _MOST_ROUNDS = 64, 5
+_FULL_FROM, _MOST_ROUNDS = 1000, 4
 _ASKED = "chunk int, bucket int, hashes binary, times binary"
 _ANSWERED = "chunk int, bucket int, found binary, times binary, doc bigint, low bigint"
 _SETS = "doc bigint, size int, grams binary, prefix array<struct<gram:bigint,pos:int>>"
@@ -185,17 +185,21 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ga", "gb").mapInArrow(verify, "a bigint, b bigint")
 
 
-def _may_link(nx: str, px: str, ny: str, py: str, percent: int):
-    """Length filter, and positional filter: the shared n-gram and all after it must suffice for the overlap needed."""
-    a, b = F.col(nx).cast("bigint"), F.col(ny).cast("bigint")
-    overlap = F.ceil(F.lit(percent) * (a + b) / F.lit(100 + percent))
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (F.least(a - F.col(px), b - F.col(py)) >= overlap)
+def _may_link(small: str, small_most: str, large: str, large_most: str, percent: int):
+    """Length and positional filter for a first set that is no larger than the second.
+
+    `most` is the size that a partner may have at most if the n-gram at `pos` is the first that both share: what follows it
+    must make up the overlap, size - pos >= percent / (100 + percent) * (size + partner).
+    """
+    a, b = F.col(small), F.col(large)
+    return (a <= b) & (b <= F.col(small_most)) & (a <= F.col(large_most)) & (100 * a >= percent * b)
 
 
 def _stars(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each group's least document with its other documents; rows: (gram, doc, size, pos)."""
-    centre = rows.groupBy("gram").agg(F.min(F.struct("doc", "size", "pos")).alias("c"), F.count("*").alias("n")).where("n > 1").select("gram", F.col("c.doc").alias("a"), F.col("c.size").alias("an"), F.col("c.pos").alias("ap"))
-    return rows.join(centre, "gram").where("doc <> a").where(_may_link("an", "ap", "size", "pos", percent)).select("a", F.col("doc").alias("b")).distinct()
+    """Pairs of each group's least document with its other documents; rows: (gram, doc, size, most)."""
+    centre = rows.groupBy("gram").agg(F.min(F.struct("doc", "size", "most")).alias("c"), F.count("*").alias("n")).where("n > 1").select("gram", F.col("c.doc").alias("a"), F.col("c.size").alias("an"), F.col("c.most").alias("am"))
+    linked = _may_link("an", "am", "size", "most", percent) | _may_link("size", "most", "an", "am", percent)
+    return rows.join(centre, "gram").where(F.col("doc") != F.col("a")).where(linked).select("a", F.col("doc").alias("b")).distinct()
 
 
 def _either_way(pairs: DataFrame) -> DataFrame:
@@ -203,31 +207,37 @@ def _either_way(pairs: DataFrame) -> DataFrame:
 
 
 def links_between(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) whose components are those of all links of the join on `sets` (see _SETS)."""
-    rows = written(sets.select("doc", "size", F.explode("prefix").alias("p")).select(F.col("p.gram").alias("gram"), "doc", "size", F.col("p.pos").alias("pos")), "prefix")
+    """Links (a, b) whose components are those of all links of the join on `sets` (see _SETS).
+
+    Only the smaller set of a pair must hold the n-gram so early that its partner may be as large as itself: these are the
+    index rows, and the join across components compares them with all rows of their n-gram.
+    """
+    most = F.floor((F.col("size") - F.col("p.pos")) * (100 + percent) / percent).cast("bigint") - F.col("size")
+    rows = written(sets.select("doc", "size", F.explode("prefix").alias("p")).select(F.col("p.gram").alias("gram"), "doc", F.col("size").cast("bigint").alias("size"), most.alias("most")), "prefix")
     pairs = written(_stars(rows, percent), "pairs")
     links = written(verified(pairs, sets, percent), "links")
     tried, n_rows = pairs, rows.count()
     for turn in range(_MOST_ROUNDS):
-        comps = written(connected_components(links), "comps")
-        placed = rows.join(comps, F.col("doc") == F.col("node"), "left").select("gram", "doc", "size", "pos", F.coalesce("component", "doc").alias("comp"))
-        sizes = placed.groupBy("gram", "comp").agg(F.count("*").alias("n"))
-        groups = sizes.groupBy("gram").agg(F.max(F.struct("n", "comp")).alias("big"), F.sum("n").alias("all"), F.count("*").alias("comps")).where("comps > 1").select("gram", F.col("big.comp").alias("big"), F.col("big.n").alias("big_n"), "all")
-        groups = written(groups, "groups")
-        pairs_left = groups.agg(F.sum((F.col("all") - F.col("big_n")).cast("double") * F.col("all"))).first()[0] or 0.0
-        if not pairs_left:
+        comps = connected_components(links)
+        placed = rows.join(comps, F.col("doc") == F.col("node"), "left").select("gram", "doc", "size", "most", F.coalesce("component", "doc").alias("comp"))
+        each = placed.groupBy("gram", "comp").agg(F.count("*").alias("n"), F.sum((F.col("most") >= F.col("size")).cast("bigint")).alias("i"))
+        groups = each.groupBy("gram").agg(F.max(F.struct("n", "comp")).alias("big"), F.sum("n").alias("n"), F.sum("i").alias("i"), F.sum(F.col("n") * F.col("i")).alias("own"), F.count("*").alias("comps"))
+        groups = written(groups.where("comps > 1 AND i > 0").select("gram", F.col("big.comp").alias("big"), (F.col("n") * F.col("i") - F.col("own")).alias("left")), "groups")
+        compared = groups.agg(F.sum("left")).first()[0] or 0
+        if not compared:
             return links
         open_rows = placed.join(groups.select("gram", "big"), "gram")
-        small = open_rows.where("comp <> big")
-        if pairs_left <= _FULL_FROM * n_rows or turn == _MOST_ROUNDS - 1:
-            other = open_rows.select("gram", F.col("doc").alias("a"), F.col("size").alias("an"), F.col("pos").alias("ap"), F.col("comp").alias("ac"), (F.col("comp") == F.col("big")).alias("ab"))
-            pairs = small.join(other, "gram").where("comp <> ac AND (ab OR doc > a)").where(_may_link("an", "ap", "size", "pos", percent)).select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct()
-            pairs = pairs.join(_either_way(tried), ["a", "b"], "left_anti")
-            return links.union(written(verified(pairs, sets, percent), "links"))
+        if compared <= _FULL_FROM * n_rows or turn == _MOST_ROUNDS - 1:
+            index = open_rows.where("most >= size").select("gram", F.col("doc").alias("a"), F.col("size").alias("an"), F.col("most").alias("am"), F.col("comp").alias("ac"))
+            new = index.join(open_rows, "gram").where("comp <> ac AND (an < size OR a < doc)").where(_may_link("an", "am", "size", "most", percent)).select("a", F.col("doc").alias("b")).distinct()
+            new = new.join(_either_way(tried), ["a", "b"], "left_anti")
+            return links.union(written(verified(new, sets, percent), "links"))
         # a star around one member of each group's smaller components, tried against all others
-        centre = small.groupBy("gram").agg(F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "size", "pos", "comp")).alias("c")).select("gram", F.col("c.doc").alias("a"), F.col("c.size").alias("an"), F.col("c.pos").alias("ap"), F.col("c.comp").alias("ac"))
-        pairs = open_rows.join(centre, "gram").where("doc <> a AND comp <> ac").where(_may_link("an", "ap", "size", "pos", percent)).select("a", F.col("doc").alias("b")).distinct()
-        pairs = written(pairs.join(_either_way(tried), ["a", "b"], "left_anti"), "pairs")
+        centre = open_rows.where("comp <> big").groupBy("gram").agg(F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "size", "most", "comp")).alias("c"))
+        centre = centre.select("gram", F.col("c.doc").alias("a"), F.col("c.size").alias("an"), F.col("c.most").alias("am"), F.col("c.comp").alias("ac"))
+        linked = _may_link("an", "am", "size", "most", percent) | _may_link("size", "most", "an", "am", percent)
+        new = open_rows.join(centre, "gram").where("comp <> ac").where(linked).select("a", F.col("doc").alias("b")).distinct()
+        pairs = written(new.join(_either_way(tried), ["a", "b"], "left_anti"), "pairs")
         tried = tried.union(pairs)
         links = links.union(written(verified(pairs, sets, percent), "links"))
     return links
