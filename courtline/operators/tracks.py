@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_TIME = Window.partitionBy("track_id").orderBy("t", "frame")
+def by_time():
+    return Window.partitionBy("track_id").orderBy("t", "frame")
+
 
 
 def gaps(points: DataFrame, longest: float) -> DataFrame:
     """Pairs of neighbouring points of a track that lie more than `longest` apart."""
-    return points.withColumn("t_start", F.lag("t").over(BY_TIME)).where(F.col("t") - F.col("t_start") > longest).select("track_id", "t_start", F.col("t").alias("t_end"), "frame")
+    return points.withColumn("t_start", F.lag("t").over(by_time())).where(F.col("t") - F.col("t_start") > longest).select("track_id", "t_start", F.col("t").alias("t_end"), "frame")
 
 
 def fill_gaps(points: DataFrame, step: float, longest: float, columns: tuple[str, ...] = ("px", "py")) -> DataFrame:
     """Adds evenly spaced points between neighbours that are over 1.5 steps and at most `longest` apart."""
-    ahead = points.withColumn("next_t", F.lead("t").over(BY_TIME))
+    ahead = points.withColumn("next_t", F.lead("t").over(by_time()))
     for c in columns:
-        ahead = ahead.withColumn(f"next_{c}", F.lead(c).over(BY_TIME))
+        ahead = ahead.withColumn(f"next_{c}", F.lead(c).over(by_time()))
     dt = F.col("next_t") - F.col("t")
     steps = F.when((dt > 1.5 * step) & (dt <= longest), F.bround(dt / step).cast("int")).otherwise(1)
     places = F.when(steps > 1, F.sequence(F.lit(0), steps - 1)).otherwise(F.array(F.lit(0)))
@@ -45,7 +47,7 @@ def smooth(points: DataFrame, window: int = 5, columns: tuple[str, ...] = ("px",
 
 
 def cadence(points: DataFrame, every: int) -> DataFrame:
-    return points.withColumn("seen", F.row_number().over(BY_TIME)).where((F.col("seen") - 1) % every == 0)
+    return points.withColumn("seen", F.row_number().over(by_time())).where((F.col("seen") - 1) % every == 0)
 
 
 def ema(points: DataFrame, column: str, alpha: float) -> DataFrame:
@@ -60,29 +62,29 @@ def ema(points: DataFrame, column: str, alpha: float) -> DataFrame:
 def as_of_sample(points: DataFrame, is_sample: Column, value: str) -> DataFrame:
     """The value of the latest sample at or before each point, or of the track's first sample before it."""
     q = F.when(is_sample, F.col(value))
-    whole = BY_TIME.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return points.withColumn("sampled", F.coalesce(F.last(q, ignorenulls=True).over(BY_TIME), F.first(q, ignorenulls=True).over(whole)))
+    whole = by_time().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return points.withColumn("sampled", F.coalesce(F.last(q, ignorenulls=True).over(by_time()), F.first(q, ignorenulls=True).over(whole)))
 
 
 def sessions(attempts: DataFrame, longest: float, apart: float) -> DataFrame:
     """Joins a row to the row before it if it follows within `longest` and moved at most `apart`; the primary of each
     session is its lowest, then latest, then surest row."""
-    dt, dx = F.col("t") - F.lag("t").over(BY_TIME), F.abs(F.col("px") - F.lag("px").over(BY_TIME))
+    dt, dx = F.col("t") - F.lag("t").over(by_time()), F.abs(F.col("px") - F.lag("px").over(by_time()))
     joins = F.coalesce((dt > 0) & (dt <= longest) & (dx <= apart), F.lit(False))
-    out = attempts.withColumn("session", F.sum((~joins).cast("int")).over(BY_TIME))
+    out = attempts.withColumn("session", F.sum((~joins).cast("int")).over(by_time()))
     best = Window.partitionBy("track_id", "session").orderBy("py", F.desc("t"), F.desc("conf"), "frame")
     return out.withColumn("primary_frame", F.first("frame").over(best)).withColumn("deduped", F.col("frame") != F.col("primary_frame"))
 
 
 def rim_signals(points: DataFrame, threshold: float, depth: float = 0.03) -> DataFrame:
     """Look-back columns over the eight rows before each row: deepest below the rim, nearest above it, tube entry, speed."""
-    back = BY_TIME.rowsBetween(-8, -1)
+    back = by_time().rowsBetween(-8, -1)
     y, valid = F.col("py"), F.col("conf") >= 0.2
     tube = valid & y.between(threshold - depth, threshold + depth)
     deepest = F.max(F.when(valid & (y > threshold), y)).over(back)
     above = F.last(F.when(valid & (y <= threshold), y), ignorenulls=True).over(back)
     outside = F.max((valid & ~tube).cast("int")).over(back)
-    out = points.withColumns({"deepest": deepest, "last_above": above, "was_outside": F.coalesce(outside, F.lit(0)), "speed": F.coalesce((F.col("px") - F.lag("px", 2).over(BY_TIME)) / 2, F.lit(0.0))})
+    out = points.withColumns({"deepest": deepest, "last_above": above, "was_outside": F.coalesce(outside, F.lit(0)), "speed": F.coalesce((F.col("px") - F.lag("px", 2).over(by_time())) / 2, F.lit(0.0))})
     down = valid & (y > threshold) & (y >= F.col("last_above") + 0.003)
     up = valid & (y <= threshold) & (y <= F.greatest("deepest", F.lit(threshold)) - 0.005) & F.col("deepest").isNotNull()
     signal = F.when(down, "crossed_down").when(up, "crossed_up").when(tube & (F.col("was_outside") == 1), "rim_tube")

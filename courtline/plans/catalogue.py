@@ -145,7 +145,7 @@ def nearest_hoop(spark, d):
 SELECT track_id, frame, coalesce(last_value(k IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY t, frame ROWS UNBOUNDED PRECEDING), 0) AS hoop FROM h""")
 def hoop_forward_fill(spark, d):
     k = F.when(F.col("conf") >= 0.5, matching.nearest_hoop(F.col("px"), HOOPS))
-    w = tracks.BY_TIME.rowsBetween(tracks.Window.unboundedPreceding, 0)
+    w = tracks.by_time().rowsBetween(tracks.Window.unboundedPreceding, 0)
     return track_points(spark, d).select("track_id", "frame", F.coalesce(F.last(k, ignorenulls=True).over(w), F.lit(0)).alias("hoop"))
 
 
