@@ -11,10 +11,29 @@ from pyspark.sql import DataFrame
 
 from courtline.llm.batches import map_texts
 
-#: Entries that a worker keeps of each of its two caches; both are emptied when full.
+#: Entries of the younger half of each cache. When it is full it becomes the older half, whose entries come back when asked for.
 CACHE = 300_000
 
 
+class Cache:
+    """A dictionary in two halves: what was not asked for while the younger half filled up is forgotten."""
+
+    def __init__(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        """The value of a key that the younger half does not have, from the older one; None if that lacks it too."""
+        if (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= CACHE:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 def byte_letters() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies: itself, or the next code point from 256 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -76,21 +95,20 @@ class WordBpe:
         self.word = regex.compile(pattern)
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.letters = byte_letters()
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, str, str]] = {}
+        self.words, self.chunks = Cache(), Cache()
 
     def _plain(self, text: str) -> list[int]:
         out: list[int] = []
         text = text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")
         for word in self.word.findall(text.lower()):
-            known = self.words.get(word)
+            known = self.words.young.get(word)
+            if known is None:
+                known = self.words.get(word)
             if known is None:
                 symbols = [self.letters[b] for b in word.encode()]
                 symbols[-1] += self.suffix
                 known = tuple(self.ids[s] for s in merge_word([s for s in symbols if s in self.ids], self.ranks) if s in self.ids)
-                if len(self.words) >= CACHE:
-                    self.words.clear()
-                self.words[word] = known
+                self.words.put(word, known)
             out.extend(known)
         return out
 
@@ -117,20 +135,22 @@ class WordBpe:
         if not text.isprintable() and regex.search(r"[\x1c-\x1f]", text):  # white space to str.split only
             ids = self.encode(text)
             return len(ids), " ".join(map(str, ids)), self.decode(ids)
-        n, ids, decoded, known = 0, [], [], self.chunks
-        for chunk in text.split():
-            got = known.get(chunk)
-            if got is None:
-                own = self.encode(chunk)
-                got = len(own), " ".join(map(str, own)), self.decode(own)
-                if len(known) >= CACHE:
-                    known.clear()
-                known[chunk] = got
-            if got[0]:
-                n += got[0]
-                ids.append(got[1])
-                decoded.append(got[2])
-        return n, " ".join(ids), " ".join(decoded)
+        chunks = text.split()
+        got = [*map(self.chunks.young.get, chunks)]
+        if None in got:
+            got = [self._chunk(chunk) if g is None else g for chunk, g in zip(chunks, got, strict=True)]
+        got = [*filter(None, got)]  # a chunk without ids is an empty tuple
+        return sum([g[0] for g in got]), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])
+
+    def _chunk(self, chunk: str) -> tuple:
+        known = self.chunks.young.get(chunk)  # it may have come since, in the same text
+        if known is None:
+            known = self.chunks.get(chunk)
+        if known is None:
+            own = self.encode(chunk)
+            known = (len(own), " ".join(map(str, own)), self.decode(own)) if own else ()
+            self.chunks.put(chunk, known)
+        return known
 
 
 def read_definition(path: str) -> str:
@@ -138,6 +158,17 @@ def read_definition(path: str) -> str:
         return f.read()
 
 
+#: The models of this Python worker, by definition: caches last over the tasks that a worker runs.
+_MODELS: dict[str, WordBpe] = {}
+
+
+def model_of_worker(definition: str) -> WordBpe:
+    if definition not in _MODELS:
+        _MODELS.clear()
+        _MODELS[definition] = WordBpe(definition)
+    return _MODELS[definition]
+
+
 def bpe_round_trip(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Encodes each whole text and decodes the ids again: n_tokens, ids (decimal, joined by a space) and decoded.
 
@@ -147,7 +178,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, text: str = "text", keep: l
     model = docs.sparkSession.sparkContext.broadcast(read_definition(vocabulary))
 
     def make():
-        bpe = WordBpe(model.value)
+        bpe = model_of_worker(model.value)
 
         def step(texts, _):
             rows = [bpe.both((t or b"").decode("utf-8", "replace")) for t in texts]
