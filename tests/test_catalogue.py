@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from courtline.plans import catalogue
+from courtline.plans import catalogue, observations  # noqa: F401
 
 
 @pytest.fixture(scope="module")
