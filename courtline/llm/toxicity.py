@@ -1,25 +1,25 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes, calibrated weighted votes."""
+"""Toxicity by nearest labelled examples: exact cosine of weighted TF-IDF vectors over all terms, calibrated weighted votes."""
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courtline.llm.batches import binary_lists, map_texts, slices
 
-#: Labelled rows used at most, terms kept at most, neighbours, documents in a block of the index.
-MAX_LABELLED, MAX_TERMS, NEIGHBOURS, BLOCK = 12_000, 2_048, 16, 64
-#: Least chi-square (one degree of freedom) and least support of a term.
-LEAST_CHI2, LEAST_DOCS = 30.0, 5
+#: Labelled rows used at most, neighbours, queries that are multiplied with the common terms at once, texts kept in a memo.
+MAX_LABELLED, NEIGHBOURS, QUERIES, MEMO = 12_000, 16, 64, 4_000
+#: A term in one of so many rows, and in so many rows, stands in the dense part of the index.
+COMMON_SHARE, COMMON_ROWS = 12, 64
 PREFIX = 4
-WORD = regex.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 32 if b < 0x30 or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
 
 
@@ -32,85 +32,146 @@ def prefix_term(word: bytes) -> bytes:
     return b"^" + word.decode("utf-8", "replace")[:PREFIX].encode()
 
 
-def terms_of(raw: bytes | None) -> Counter:
-    """Each word, and the first letters of each longer word as a term of their own."""
-    out: Counter = Counter()
-    for word, n in Counter(words_of(raw)).items():
-        out[word] += n
-        if len(word) > PREFIX:
-            out[prefix_term(word)] += n
-    return out
+class Vocabulary:
+    """Numbers of the terms, words and prefixes alike."""
+
+    def __init__(self, terms: dict[bytes, int]) -> None:
+        self.terms = terms
+        #: first bytes of the prefix terms: most words differ there already
+        self.heads = {t[1 : PREFIX + 1] for t in terms if t.startswith(b"^")}
+
+    def counts(self, raw: bytes | None) -> dict[int, int]:
+        """Counts of the known terms of a text."""
+        return self.of_words(Counter(words_of(raw)))
+
+    def of_words(self, known: dict[bytes, int]) -> dict[int, int]:
+        terms = self.terms
+        out = {terms[w]: known[w] for w in known.keys() & terms.keys()}
+        heads = self.heads
+        for word in [w for w in known if w[:PREFIX] in heads]:
+            if len(word) > PREFIX and (t := terms.get(prefix_term(word))) is not None:
+                out[t] = out.get(t, 0) + known[word]
+        return out
+
+
+def _pair(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    order = sorted(counts)
+    return np.array(order, np.int32), np.array([counts[t] for t in order], np.int32)
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges that begin there and have that many."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Index:
-    """Unit TF-IDF vectors of the labelled rows in blocks, with the largest weight of each term in each block."""
+    """Unit vectors of the labelled rows by all of their terms: a dense matrix of the common terms, postings of the others."""
 
-    def __init__(self, terms: dict[bytes, int], idf: np.ndarray, rows: list[tuple[int, int, dict[int, int]]]) -> None:
-        """rows: (id, label, {term number: count}); those without a known term are only counted."""
-        self.terms, self.idf = terms, idf
-        #: first bytes of the prefix terms: most words differ there already
-        self.heads = {t[1 : PREFIX + 1] for t in terms if t.startswith(b"^")}
-        full = sorted((r for r in rows if r[2]), key=lambda r: (min(r[2], key=lambda t: (-idf[t], t)), r[0]))  # like rows share blocks
+    def __init__(self, terms: dict[bytes, int], idf: np.ndarray, rows: list[tuple[int, int, dict[int, int] | tuple[np.ndarray, np.ndarray]]]) -> None:
+        """rows: (id, label, {term number: count}, or the numbers in order and the counts); those without a term are only counted."""
+        self.words, self.idf = Vocabulary(terms), np.asarray(idf, float)
+        pairs = [(i, y, _pair(c) if isinstance(c, dict) else c) for i, y, c in sorted(rows, key=lambda r: r[0])]
+        full = [r for r in pairs if len(r[2][0])]
         self.ids = np.array([r[0] for r in full], np.int64)
         self.labels = np.array([r[1] for r in full], np.float64)
-        empty = [r[1] for r in rows if not r[2]]
+        empty = [r[1] for r in pairs if not len(r[2][0])]
         self.empty_rate = (sum(empty) + 0.5) / (len(empty) + 1.0) if empty else None
-        self.rate = (sum(r[1] for r in rows) + 0.5) / (len(rows) + 1.0)
-        blocks = -(-len(full) // BLOCK)
-        self.most = np.zeros((len(terms), max(blocks, 1)))
-        postings: list[dict[int, tuple[list[int], list[float]]]] = [{} for _ in range(blocks)]
-        for d, (_, _, counts) in enumerate(full):
-            for t, w in self.vector(counts):
-                at = postings[d // BLOCK].setdefault(t, ([], []))
-                at[0].append(d % BLOCK)
-                at[1].append(w)
-                self.most[t, d // BLOCK] = max(self.most[t, d // BLOCK], w)
-        self.postings = [{t: (np.array(a), np.array(b)) for t, (a, b) in p.items()} for p in postings]
+        self.rate = (sum(r[1] for r in pairs) + 0.5) / (len(pairs) + 1.0)
+        self.size = np.array([len(r[2][0]) for r in full], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.term = np.concatenate([r[2][0] for r in full]) if full else np.zeros(0, np.int32)
+        self.count = np.concatenate([r[2][1] for r in full]) if full else np.zeros(0, np.int32)
+        raw = self._raw(self.term, self.count)
+        self.norm = np.sqrt(np.add.reduceat(raw * raw, self.begin)) if full else np.zeros(0)
 
-    def vector(self, counts: dict[int, int]) -> list[tuple[int, float]]:
-        raw = [(t, (1 + math.log(n)) * self.idf[t]) for t, n in sorted(counts.items())]
-        norm = math.sqrt(sum(w * w for _, w in raw)) or 1.0
-        return [(t, w / norm) for t, w in raw]
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "search"}  # each worker makes its own
 
-    def nearest(self, counts: dict[int, int], k: int = NEIGHBOURS, leave: int | None = None) -> list[tuple[float, int, float]]:
-        """The exact k rows of highest cosine, as (cosine, id, label); ties by id. `leave`: an id that doesn't count.
+    def _raw(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return (1 + np.log(count)) * self.idf[term]
 
-        Blocks are visited by falling upper bound, the query's weights times the block's largest; the search ends when
-        no block can hold a better row than the k found. Rows of cosine 0 are no neighbours.
+    def vector(self, counts: dict[int, int]) -> list[tuple[int, float]]:
+        term, count = _pair(counts)
+        raw = self._raw(term, count)
+        norm = math.sqrt(float(raw @ raw)) or 1.0
+        return list(zip(term.tolist(), (raw / norm).tolist(), strict=True))
+
+    @cached_property
+    def search(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Column of each term in the dense part (-1: none), the dense part, and where postings begin, their rows and weights."""
+        n, freq = len(self.ids), np.bincount(self.term, minlength=len(self.idf))
+        common = np.flatnonzero((freq * COMMON_SHARE >= n) & (freq >= COMMON_ROWS))
+        column = np.full(len(self.idf), -1, np.int32)
+        column[common] = np.arange(len(common))
+        row = np.repeat(np.arange(n, dtype=np.int32), self.size)
+        weight = (self._raw(self.term, self.count) / self.norm[row]).astype(np.float32)
+        at = column[self.term]
+        dense = np.zeros((n, len(common)), np.float32)
+        dense[row[at >= 0], at[at >= 0]] = weight[at >= 0]
+        rare = np.flatnonzero(at < 0)
+        rare = rare[np.argsort(self.term[rare], kind="stable")]
+        freq[common] = 0
+        return column, dense, np.concatenate(([0], np.cumsum(freq))), row[rare], weight[rare]
+
+    def nearest(self, counts: dict[int, int], k: int = NEIGHBOURS) -> list[tuple[float, int, float]]:
+        return self.nearest_of([_pair(counts)], k)[0]
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, leave: list[int] | None = None) -> list[list[tuple[float, int, float]]]:
+        """The exact k rows of highest cosine of each query, as (cosine, id, label); ties by id. `leave`: row numbers that don't count.
+
+        All rows are scored in single precision, and those that may be among the k by its error bound are scored again in
+        double precision. Rows of cosine 0 are no neighbours.
         """
-        query = self.vector(counts)
-        if not query or not self.postings:
-            return []
-        bound = np.array([w for _, w in query]) @ self.most[[t for t, _ in query]]
-        found: list[tuple[float, int, float]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(found) >= k and bound[b] < found[k - 1][0] - 1e-9):
-                break
-            scores, own = np.zeros(BLOCK), self.postings[b]
-            for t, w in query:
-                if (p := own.get(t)) is not None:
-                    scores[p[0]] += w * p[1]
-            for d in np.flatnonzero(scores):
-                n = int(b) * BLOCK + int(d)
-                if leave is None or self.ids[n] != leave:
-                    found.append((round(float(scores[d]), 9), int(self.ids[n]), float(self.labels[n])))
-            found.sort(key=lambda x: (-x[0], x[1]))
-            del found[k:]
-        return found
+        if not len(self.ids):
+            return [[] for _ in queries]
+        column, dense, begin, rows, weights = self.search
+        out, n, whole = [], len(self.ids), np.zeros(len(self.idf))
+        for lo in range(0, len(queries), QUERIES):
+            units = []
+            block = np.zeros((len(queries[lo : lo + QUERIES]), dense.shape[1]), np.float32)
+            for j, (term, count) in enumerate(queries[lo : lo + QUERIES]):
+                raw = self._raw(term, count)
+                units.append(raw / (math.sqrt(float(raw @ raw)) or 1.0))
+                in_dense = column[term] >= 0
+                block[j, column[term[in_dense]]] = units[-1][in_dense]
+            scores = block @ dense.T
+            for j, (term, _) in enumerate(queries[lo : lo + QUERIES]):
+                rare = column[term] < 0
+                first, size = begin[term[rare]], begin[term[rare] + 1] - begin[term[rare]]
+                where = _ranges(first, size)
+                score = scores[j] + np.bincount(rows[where], np.repeat(units[j][rare], size) * weights[where], minlength=n)
+                if leave is not None:
+                    score[leave[lo + j]] = 0
+                # all summands are positive: the relative error is at most the number of terms times that of one operation
+                least = np.partition(score, n - k)[n - k] * (1 - 2.4e-7 * (len(term) + 8)) - 2e-9 if n > k else 0.0
+                near = np.flatnonzero((score >= least) & (score > 0))
+                whole[term] = units[j]
+                where = _ranges(self.begin[near], self.size[near])
+                own = np.repeat(np.arange(len(near)), self.size[near])
+                hit = np.flatnonzero(whole[self.term[where]])
+                where, own = where[hit], own[hit]
+                exact = np.bincount(own, whole[self.term[where]] * self._raw(self.term[where], self.count[where]) / self.norm[near[own]], minlength=len(near))
+                whole[term] = 0
+                found = [(round(float(s), 9), int(self.ids[r]), float(self.labels[r])) for s, r in zip(exact, near, strict=True)]
+                out.append(sorted(found, key=lambda x: (-x[0], x[1]))[:k])
+        return out
 
     def vote(self, found: list[tuple[float, int, float]]) -> float:
         """Labels weighted by nearness, 1 / (distance + 0.1), with one neutral vote at the base rate."""
         weights = [s / (1 - s + 0.1) for s, _, _ in found]
         return (sum(w * y for w, (_, _, y) in zip(weights, found, strict=True)) + 0.1 * self.rate) / (sum(weights) + 0.1)
 
-    def calibrate(self, rows: list[tuple[int, int, dict[int, int]]]) -> None:
+    def left_out(self, rows: list[int]) -> list[float]:
+        """The vote on each of those rows by the others."""
+        own = [(self.term[b : b + n], self.count[b : b + n]) for b, n in zip(self.begin[rows].tolist(), self.size[rows].tolist(), strict=True)]
+        return [self.vote(found) for found in self.nearest_of(own, leave=rows)]
+
+    def calibrate(self, votes: np.ndarray) -> tuple[float, float]:
         """Fits score = logistic(a + b * vote) on leave-one-out votes of the labelled rows (Newton, small ridge)."""
-        full = [r for r in rows if r[2]]
-        self.a, self.b = 0.0, 0.0
-        if not full:
-            return
-        x = np.array([self.vote(self.nearest(c, leave=i)) for i, _, c in full]) - 0.5
-        y = np.array([r[1] for r in full], float)
+        if not len(votes):
+            return 0.0, 0.0
+        x, y = votes - 0.5, self.labels
         y = (y * len(y) + 0.5) / (len(y) + 1)  # no infinite odds
         design, w = np.stack([np.ones_like(x), x], 1), np.array([0.0, 6.0])
         prior = w.copy()
@@ -121,38 +182,83 @@ class Index:
             w = w + np.clip(step, -2, 2)
             if abs(step).max() < 1e-9:
                 break
-        self.a, self.b = map(float, w)
-
-    def score(self, raw: bytes | None, memo: dict) -> tuple[float, list[tuple[float, int, float]]]:
-        counts = self.counts(raw)
-        if not counts:
-            return (self.rate if self.empty_rate is None else self.empty_rate), []
-        key = tuple(sorted(counts.items()))
-        if key not in memo:
-            if len(memo) > 50_000:
-                memo.clear()
-            found = self.nearest(counts)
-            odds = self.a + self.b * (self.vote(found) - 0.5)
-            memo[key] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))), found
-        return memo[key]
+        return float(w[0]), float(w[1])
+
+    def score(self, texts: list[bytes | None], odds: tuple[float, float], memo: dict) -> list[tuple[float, list[tuple[float, int, float]]]]:
+        keys = [hashlib.blake2b(t or b"", digest_size=16).digest() for t in texts]
+        if len(memo) > MEMO:
+            memo.clear()
+        todo = {k: t for k, t in zip(keys, texts, strict=True) if k not in memo}
+        counts = {k: self.words.counts(t) for k, t in todo.items()}
+        some = [k for k, c in counts.items() if c]
+        done = dict.fromkeys(counts, ((self.rate if self.empty_rate is None else self.empty_rate), []))
+        for k, found in zip(some, self.nearest_of([_pair(counts[k]) for k in some]), strict=True):
+            at = odds[0] + odds[1] * (self.vote(found) - 0.5)
+            done[k] = 1 / (1 + math.exp(-max(-30.0, min(30.0, at)))), found
+        memo.update(done)
+        return [memo[k] for k in keys]
+
+
+def _vectors(rows: DataFrame, used: dict[int, int]) -> tuple[dict[bytes, int], list[tuple[int, int, tuple[np.ndarray, np.ndarray]]]]:
+    """All terms of the rows (i, t), numbered, and (id, label, (terms, counts)) of each row in `used`."""
 
-    def counts(self, raw: bytes | None) -> dict[int, int]:
-        """Counts of the known terms, words and prefixes alike."""
-        known, terms = Counter(words_of(raw)), self.terms
-        out = {terms[w]: known[w] for w in known.keys() & terms.keys()}
-        heads = self.heads
-        for word in [w for w in known if w[:PREFIX] in heads]:
-            if len(word) > PREFIX and (t := terms.get(prefix_term(word))) is not None:
-                out[t] = out.get(t, 0) + known[word]
-        return out
+    def make():
+        def step(texts, _):
+            counts = [Counter(words_of(t)) for t in texts]
+            return {"words": [b" ".join(c) for c in counts], "n": [np.array([*c.values()], np.int32).tobytes() for c in counts]}
 
+        return step
+
+    got = sorted((r.i, r.words, r.n) for r in map_texts(rows, "t", "words binary, n binary", make, ["i"]).toLocalIterator() if r.i in used)
+    terms: dict[bytes, int] = {}
+    prefix: dict[int, int] = {}  # of a word's number
+    out = []
+    for i, (names, n) in {i: (names, n) for i, names, n in reversed(got)}.items():  # of rows that share an id, one
+        own = []
+        for word in names.split():
+            if (t := terms.get(word)) is None:
+                t = terms[word] = len(terms)
+                if len(word) > PREFIX:
+                    prefix[t] = terms.setdefault(prefix_term(word), len(terms))
+            own.append(t)
+        times = np.frombuffer(n, np.int32)
+        long = [k for k, t in enumerate(own) if t in prefix]
+        every = np.array(own + [prefix[own[k]] for k in long], np.int32)
+        term, back = np.unique(every, return_inverse=True)
+        out.append((i, used[i], (term, np.bincount(back, np.concatenate((times, times[long])), minlength=len(term)).astype(np.int32))))
+    return terms, out
+
+
+def _document_frequencies(docs: DataFrame, text: str, terms: dict[bytes, int]) -> tuple[int, np.ndarray]:
+    """Number of texts in `docs`, and of those with each term."""
+    words = docs.sparkSession.sparkContext.broadcast(Vocabulary(terms))
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, max_rows: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> Index:
+    def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, n = np.zeros(len(words.value.terms), np.int64), 0
+        for batch in batches:
+            for part in slices(batch, "t"):
+                for raw in binary_lists(part.column("t")):
+                    if raw:
+                        n += 1
+                        own = words.value.counts(raw)
+                        have[np.fromiter(own, np.int64, len(own))] += 1
+        some = np.flatnonzero(have)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(np.append(some, -1), pa.int32()), "n": pa.array(np.append(have[some], n), pa.int64())})
+
+    got = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(tally, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    words.unpersist()
+    term, n = got.column("term").to_numpy(), got.column("n").to_numpy()
+    out = np.zeros(len(terms), np.int64)
+    out[term[term >= 0]] = n[term >= 0]
+    return int(n[term < 0].sum()), out
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, max_rows: int = MAX_LABELLED) -> Index:
     """The index over a sample of at most `max_rows` labelled rows, chosen by a hash of the id.
 
-    Of equal texts only that with the smallest id is used. Terms are those most associated with label 1 by chi-square over the sample.
+    Of equal texts only that with the smallest id is used. All terms of the sample count: the weight of a term is its IDF over all
+    of `docs`, times sqrt(1 + chi-square) of its association with the label over the sample.
     """
-    spark = docs.sparkSession
     known = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).where("i IS NOT NULL AND y IS NOT NULL").groupBy("i").agg(F.max("y").alias("y"))
     chosen = known.withColumn("h", F.xxhash64("i")).orderBy("h", "i").limit(max_rows).select("i", "y")
     rows = docs.select(F.col(doc_id).alias("i"), F.col(text).cast("string").alias("t")).join(F.broadcast(chosen), "i")
@@ -162,46 +268,30 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
         first.setdefault((r.x, r.n), (r.i, r.y))
     used = {i: y for i, y in first.values()}
     if not used:
-        return _ready(Index({}, np.zeros(0), []), [])
-    model = spark.sparkContext.broadcast(used)
-
-    def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = (Counter(), Counter())
+        return Index({}, np.zeros(0), [])
+    terms, vectors = _vectors(rows, used)
+    n, have = _document_frequencies(docs, text, terms)
+    both = [np.zeros(len(terms)), np.zeros(len(terms))]
+    for _, y, (term, _) in vectors:
+        both[y > 0][term] += 1
+    n1 = sum(y > 0 for _, y, _ in vectors)
+    n0, total, sample = len(vectors) - n1, both[0] + both[1], len(vectors)
+    excess = both[1] * n0 - both[0] * n1
+    chi2 = sample * excess * excess / (max(n0, 1) * max(n1, 1) * total * (sample - total + 0.5))
+    return Index(terms, (1 + np.log((1 + n) / (1 + have))) * np.sqrt(1 + chi2), vectors)
+
+
+def calibrated(spark, index: Index):
+    """The index as a broadcast, and a and b of Index.calibrate."""
+    model, n = spark.sparkContext.broadcast(index), len(index.ids)
+
+    def votes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "t"):
-                for i, raw in zip(part.column("i").to_pylist(), binary_lists(part.column("t")), strict=True):
-                    if (y := model.value.get(i)) is not None:
-                        both[y > 0].update(terms_of(raw).keys())
-        names = [*(both[0].keys() | both[1].keys())]
-        yield pa.RecordBatch.from_pydict({"term": pa.array(names, pa.binary()), "neg": pa.array([both[0][t] for t in names], pa.int64()), "pos": pa.array([both[1][t] for t in names], pa.int64())})
-
-    n1 = sum(y > 0 for y in used.values())
-    n0 = len(used) - n1
-    counted = rows.select("i", "t").mapInArrow(tally, "term binary, neg bigint, pos bigint").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    excess = F.col("pos") * F.lit(float(n0)) - F.col("neg") * F.lit(float(n1))
-    with_term = F.col("pos") + F.col("neg")
-    chi2 = F.lit(float(len(used))) * excess * excess / (F.lit(float(max(n0, 1)) * max(n1, 1)) * with_term * (F.lit(float(len(used))) - with_term + 0.5))
-    best = counted.where((with_term >= LEAST_DOCS) & (excess > 0)).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(max_terms).collect()
-    terms = {bytes(r.term): k for k, r in enumerate(best)}
-    idf = np.array([1 + math.log((1 + len(used)) / (1 + r.pos + r.neg)) for r in best])
-    vocabulary = spark.sparkContext.broadcast(Index(terms, idf, []))
-
-    def make():
-        def step(texts, part):
-            counts = [vocabulary.value.counts(t) for t in texts]
-            return {"term": [list(c) for c in counts], "n": [list(c.values()) for c in counts]}
-
-        return step
-
-    vectors = map_texts(rows, "t", "term array<int>, n array<int>", make, ["i"]).collect()
-    got = {r.i: dict(zip(r.term, r.n, strict=True)) for r in vectors if r.i in used}
-    full = [(i, y, got[i]) for i, y in sorted(used.items())]
-    return _ready(Index(terms, idf, full), full)
-
+            row = batch.column("id").to_pylist()
+            yield pa.RecordBatch.from_pydict({"id": pa.array(row, pa.int64()), "vote": pa.array(model.value.left_out(row), pa.float64())})
 
-def _ready(index: Index, rows: list) -> Index:
-    index.calibrate(rows)
-    return index
+    got = spark.range(0, n, 1, max(1, min(24, n // 64))).mapInArrow(votes, "id bigint, vote double").collect() if n else []
+    return model, index.calibrate(np.array([r.vote for r in sorted(got, key=lambda r: r.id)]))
 
 
 def score_toxicity(docs: DataFrame, train: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", keep: list[str] | None = None, max_rows: int = MAX_LABELLED) -> DataFrame:
@@ -210,13 +300,13 @@ def score_toxicity(docs: DataFrame, train: DataFrame, labels: DataFrame, doc_id:
     Fits on `labels` joined to the texts of `train`, on a bounded sample. Null and empty texts, and those without a known
     term, get the rate of label 1 among labelled rows without one, and no evidence. With no labelled rows all scores are 0.5.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(train, labels, doc_id, text, label, max_rows))
+    model, odds = calibrated(docs.sparkSession, fit(train, labels, doc_id, text, label, max_rows))
 
     def make():
         memo: dict = {}
 
         def step(texts, _):
-            rows = [model.value.score(t, memo) for t in texts]
+            rows = model.value.score(texts, odds, memo)
             return {"score": [r[0] for r in rows], "evidence": [[{"doc_id": i, "cosine": s, "label": int(y)} for s, i, y in r[1]] for r in rows]}
 
         return step

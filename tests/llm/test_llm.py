@@ -101,6 +101,42 @@ def test_block_max_search_is_exact():
         assert [(s, i) for s, i, _ in index.nearest(q)] == want
 
 
+def test_rare_words_and_unassociated_words_find_their_rows(spark):
+    rnd = random.Random(7)
+    common = [f"word{k}" for k in range(200)]
+    docs = [(i, " ".join(rnd.choices(common, k=30))) for i in range(100)]
+    docs[3] = (3, "zibbel quarn ploff strundel vrix")  # no word in five rows
+    copies = [(1000, docs[3][1]), (1001, docs[4][1]), (1002, "zibbel unknown")]
+    labels = spark.createDataFrame([(i, int(i % 10 == 3)) for i in range(100)], "doc_id bigint, toxic int")
+    train = frame(spark, docs)
+    got = {r.doc_id: r for r in toxicity.score_toxicity(frame(spark, copies), train, labels).collect()}
+    assert got[1000].evidence[0].doc_id == 3 and got[1000].evidence[0].cosine == 1 and got[1000].score >= 0.5
+    assert got[1001].evidence[0].doc_id == 4 and got[1001].evidence[0].cosine == 1 and got[1001].score < 0.5
+    assert [e.doc_id for e in got[1002].evidence] == [3]
+    few = spark.createDataFrame([(i, int(i == 3)) for i in range(10)], "doc_id bigint, toxic int")  # chi-square is at most 10
+    assert {r.doc_id: r.evidence[0].doc_id for r in toxicity.score_toxicity(frame(spark, copies), train, few).collect()} == {1000: 3, 1001: 4, 1002: 3}
+
+
+def test_document_frequencies_are_those_of_all_documents(spark):
+    docs = frame(spark, [(1, "alpha beta"), (2, "beta gamma beta"), (3, "gamma"), (4, "gamma"), (5, None), (6, "")])
+    index = toxicity.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, toxic int"), "doc_id", "text", "toxic")
+    assert {t for t in index.words.terms if not t.startswith(b"^")} == {b"alpha", b"beta", b"gamma"}
+    n, have = toxicity._document_frequencies(docs, "text", index.words.terms)
+    assert (n, [int(have[index.words.terms[t]]) for t in (b"alpha", b"beta", b"gamma")]) == (4, [1, 2, 3])
+
+
+def test_dense_part_and_postings_score_alike():
+    rnd = random.Random(3)
+    terms, weights = {str(k).encode(): k for k in range(300)}, np.array([1 + rnd.random() for _ in range(300)])
+    rows = [(i, i % 2, {int(300 * rnd.random() ** 3): rnd.randint(1, 3) for _ in range(rnd.randint(1, 30))}) for i in range(700)]
+    index = toxicity.Index(terms, weights, rows)
+    assert 0 < index.search[1].shape[1] < 300
+    for i, _, c in rows[:40]:
+        qv = dict(index.vector(c))
+        want = sorted(((round(s, 9), j) for j, _, o in rows if j != i and (s := sum(w * qv.get(t, 0) for t, w in index.vector(o))) > 0), key=lambda x: (-x[0], x[1]))[:16]
+        assert [(s, j) for s, j, _ in index.nearest_of([toxicity._pair(c)], leave=[i])[0]] == want
+
+
 def test_trees_learn_a_threshold():
     rnd = np.random.default_rng(0)
     x = rnd.random((2000, 3))
