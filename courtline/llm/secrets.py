@@ -17,7 +17,7 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 #: What a value follows to count as a credential beside the base pattern's names.
 CONTEXT = re.compile(
-    rb"""(?<![A-Za-z])(pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|(?:api|access|private|auth)[_ -]?key|credentials?|auth|login)["']?\x20*(?:[:=]|\x20is\x20)\x20*["']?([^\s"'`,;<>]{4,64})""",
+    rb"""(?<![A-Za-z])(pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|(?:api|access|private|auth)[_ -]?key|credentials?|auth|login)["']?\x20*(?:[:=]|\x20is\x20)\x20*["']?([^\s"'`,;<>]{4,})""",
     re.IGNORECASE,
 )
 _CUES = (b"pass", b"pwd", b"pin", b"secret", b"token", b"key", b"credential", b"auth", b"login")
@@ -55,7 +55,8 @@ def _alphabet(c: str) -> int:
 def guess_cost(value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
     """log10 of the guesses that the cheapest segmentation of `value` takes, and its parts (kind, start, end).
 
-    Dynamic programming over end positions: best[j] is the least, over parts i..j, of best[i] + the part's cost. Parts
+    Dynamic programming over end positions: best[j] is the least, over parts i..j, of best[i] + the part's cost. Brute-force
+    spans and walks carry their best start along, so that whole values of any length can be costed. Parts
     are dictionary words (rank, times 2 for capitals, times 2 for look-alike digits), dates (days of 200 years), repeats of
     a block (its brute-force guesses times the repetitions), keyboard walks (starts times turns) and brute-force spans.
     Each part after the first doubles the guesses, as a guesser must also choose the structure; ties go to the
@@ -68,35 +69,55 @@ def guess_cost(value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
     for x in brute:
         total.append(total[-1] + x)
     more = math.log10(2)
-    dates = {(m.start(), m.end()) for i in range(n) if value[i].isdigit() and (m := DATE.match(value, i))}
-    dates |= {(i, i + 4) for i in range(n - 3) if value[i : i + 2] in ("19", "20") and value[i : i + 4].isdigit()}
-    walk = [0] * n  # walk[i]: first position of the run of neighbouring keys that ends at i
+    dates: dict[int, list[int]] = {}  # starts by end
     for i in range(n):
-        walk[i] = walk[i - 1] if i and low[i] in NEAR.get(low[i - 1], ()) else i
+        if value[i].isdigit():
+            m = DATE.match(value, i)
+            ends = {m.end()} if m else set()
+            if value[i : i + 2] in ("19", "20") and len(value[i : i + 4]) == 4 and value[i : i + 4].isdigit():
+                ends.add(i + 4)
+            for e in ends:
+                dates.setdefault(e, []).append(i)
+    turn, start = math.log10(2.5), math.log10(47)
+    costs = np.zeros(n + 1)  # of best, for the repeats
     best: list[tuple[float, int, str]] = [(0.0, 0, "")]
+    brute_from, brute_cost = 0, 0.0  # the cheapest segmentation that ends in a brute-force span
+    walk_at, walk_from, walk_base = 0, -1, math.inf  # first position of the run of neighbouring keys, and the best start in it
+    period = [0] * 9  # how many characters up to here equal the one so many before
     for j in range(1, n + 1):
+        last = j - 1
+        lead = best[last][0] + (more if last else 0)
+        if last == 0 or lead < brute_cost - 1e-12:
+            brute_from, brute_cost = last, lead
+        brute_cost += brute[last]
+        options = [(brute_cost, brute_from, 4, "brute")]
+        for i in range(max(0, j - LONGEST_WORD), j - 2):
+            for form, extra in ((low[i:j], 0), (plain[i:j], 1)):
+                if rank := RANKS.get(form):
+                    options.append((best[i][0] + (more if i else 0) + math.log10(2 * rank) + more * (extra + (value[i:j] != low[i:j])), i, 0, "word"))
+        for i in dates.get(j, ()):
+            options.append((best[i][0] + (more if i else 0) + math.log10(200 if j - i == 4 else 73_000), i, 1, "date"))
+        for p in range(1, min(8, j - 1) + 1):
+            period[p] = period[p] + 1 if value[last] == value[last - p] else 0
+            if period[p] >= p and (times := np.arange(max(2, -(-3 // p)), (period[p] + p) // p + 1)).size:
+                first = j - p * times
+                whole = costs[first] + np.where(first > 0, more, 0.0) + np.log10(times)
+                r = len(times) - 1 - int(whole[::-1].argmin())
+                i = int(first[r])
+                options.append((float(whole[r]) + total[i + p] - total[i], i, 2, "repeat"))
+        if last and low[last] not in NEAR.get(low[last - 1], ()):
+            walk_at, walk_from, walk_base = last, -1, math.inf
+        if (i := j - 3) >= walk_at:
+            base = best[i][0] + (more if i else 0) - i * turn
+            if base < walk_base - 1e-12:
+                walk_from, walk_base = i, base
+            options.append((walk_base + start + last * turn, walk_from, 3, "walk"))
         top = (math.inf, 0, "")
-        for i in range(j):
-            size, before = j - i, best[i][0] + (more if i else 0)
-            options = []
-            if 3 <= size <= LONGEST_WORD:
-                for form, extra in ((low[i:j], 0), (plain[i:j], 1)):
-                    if rank := RANKS.get(form):
-                        options.append((math.log10(2 * rank) + more * (extra + (value[i:j] != low[i:j])), "word"))
-            if (i, j) in dates:
-                options.append((math.log10(200 if size == 4 else 73_000), "date"))
-            if size >= 3:
-                for p in range(1, min(size // 2, 8) + 1):
-                    if size % p == 0 and value[i : i + p] * (size // p) == value[i:j]:
-                        options.append((total[i + p] - total[i] + math.log10(size // p), "repeat"))
-                        break
-            if size >= 3 and walk[j - 1] <= i:
-                options.append((math.log10(47) + (size - 1) * math.log10(2.5), "walk"))
-            options.append((total[j] - total[i], "brute"))
-            cost, kind = min(options, key=lambda x: x[0])
-            if before + cost < top[0] - 1e-12:
-                top = (before + cost, i, kind)
+        for cost, i, _, kind in sorted(options, key=lambda x: (x[1], x[2], x[0])):
+            if cost < top[0] - 1e-12:
+                top = (cost, i, kind)
         best.append(top)
+        costs[j] = top[0]
     parts, j = [], n
     while j:
         _, i, kind = best[j]
@@ -158,7 +179,7 @@ def scan_text(raw: bytes | None, strong: float = STRONG) -> list[tuple[str, int,
     for a, b, kind, cost in found:
         if kind == "assign":
             value = ASSIGN.match(raw, a)[2].decode()
-            cost = guess_cost(value)[0] if len(value) <= 128 else None
+            cost = guess_cost(value)[0]
         out.append((kind, a, b, cost) if at is None else (kind, int(at[a]), int(at[b]), cost))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
@@ -166,7 +187,7 @@ def scan_text(raw: bytes | None, strong: float = STRONG) -> list[tuple[str, int,
 def scan_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = None, strong: float = STRONG) -> DataFrame:
     """Secrets in each whole text, as `found`: array of (kind, start, end, guesses) in code points, end exclusive.
 
-    `guesses` is log10 of the guess cost of an assigned value (null for values over 128 characters and for keys).
+    `guesses` is log10 of the guess cost of a whole assigned or context value, of any length (null for keys).
     The kind guess is a value in a credential context that costs 10 ** `strong` guesses or more; it may overlap base
     spans. Null and empty texts have none; rows are independent, so repeated rows get equal results.
     """

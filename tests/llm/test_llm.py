@@ -363,6 +363,44 @@ def test_guess_cost_is_the_cheapest_segmentation():
         assert abs(cost(v) - least(v)) < 1e-4
 
 
+def test_long_context_values_are_whole(spark):
+    long = "eyJhbGciOiJIUzI1NiJ9." + "aZ3_9-xQ7" * 30
+    found = [x for x in secrets.scan_text(f"x auth: {long} end".encode())]
+    assert [(k, a, b) for k, a, b, _ in found if k == "guess"] == [("guess", 8, 8 + len(long))]
+    rows = frame(spark, [(1, f"access_key={long} y"), (2, f'pwd="{"".join(random.Random(6).choices("Q7x#kP", k=160))}"')])
+    assert {r.doc_id: r.text for r in secrets.redact_secrets(rows).collect()} == {1: "access_key=[secret] y", 2: 'pwd="[secret]"'}
+    value = "".join(random.Random(4).choices("abcXYZ0189", k=300))
+    (span,) = [x for x in secrets.scan_text(f"password={value}".encode()) if x[0] == "assign"]
+    assert span[3] == secrets.guess_cost(value)[0] > 100
+
+
+def test_guess_cost_of_all_segmentations():
+    rnd = random.Random(5)
+
+    def part(v, i, j):  # cheapest single part
+        low, out = v[i:j].lower(), [sum(np.log10(secrets._alphabet(c)) for c in v[i:j])]
+        for form, extra in ((low, 0), (low.translate(secrets.LEET), 1)):
+            if j - i >= 3 and (rank := secrets.RANKS.get(form)):
+                out.append(np.log10(2 * rank) + 0.30103 * (extra + (v[i:j] != low)))
+        if secrets.DATE.fullmatch(v[i:j]):
+            out.append(np.log10(200 if j - i == 4 else 73_000))
+        for p in range(1, min((j - i) // 2, 8) + 1):
+            if j - i >= 3 and (j - i) % p == 0 and v[i : i + p] * ((j - i) // p) == v[i:j]:
+                out.append(sum(np.log10(secrets._alphabet(c)) for c in v[i : i + p]) + np.log10((j - i) // p))
+        if j - i >= 3 and all(b in secrets.NEAR.get(a, ()) for a, b in zip(low, low[1:])):
+            out.append(np.log10(47) + (j - i - 1) * np.log10(2.5))
+        return min(out)
+
+    for _ in range(150):
+        v = "".join(rnd.choices(["a", "ab", "love", "L0ve", "qwer", "sdf", "1999", "2001", "x", "7", "#", "é"], k=rnd.randint(1, 6)))
+        best = [0.0]
+        for j in range(1, len(v) + 1):
+            best.append(min(best[i] + (0.30103 if i else 0) + part(v, i, j) for i in range(j)))
+        cost, parts = secrets.guess_cost(v)
+        assert abs(cost - best[-1]) < 1e-4, v
+        assert [a for _, a, _ in parts] == [0, *[b for _, _, b in parts]][:-1]
+
+
 def test_secret_scan_of_odd_texts(spark, odd):
     assert all(r.found == [] for r in secrets.scan_secrets(odd).collect())
     rows = frame(spark, [(1, "é password=hunter2secret99 x"), (2, None), (3, "pwd: Zk9#qP2$vL"), (4, "clean")])
