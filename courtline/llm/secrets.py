@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 from pyspark.sql import DataFrame
 
 from courtline.llm.batches import map_texts
@@ -24,16 +26,30 @@ _CUES = (b"pass", b"pwd", b"pin", b"secret", b"token", b"key", b"credential", b"
 #: log10 of the guesses from which a credential-context value is reported.
 STRONG = 8.0
 
-# Words that guessers try first, most frequent first.
+# Words that guessers try first, most frequent first. The words of a public vocabulary follow in RANKS.
 COMMON = (
     "password 123456 qwerty letmein welcome admin login dragon monkey master sunshine princess football shadow michael "
     "superman batman trustno iloveyou secret hello freedom whatever ninja mustang access flower summer winter spring autumn "
     "love god money test guest user root changeme default orange purple silver golden happy lucky star angel baby computer "
     "internet server system service token key house river mountain horse battery staple correct"
 ).split()
-RANKS = {w: i + 1 for i, w in enumerate(dict.fromkeys(COMMON))}
+#: A vocabulary whose words stand in the order in which they were merged, about by frequency.
+WORDS = "word_bpe_49k.json"
+
+
+def _ranked() -> dict[str, int]:
+    """Rank of each word: the common ones, then the whole words of the vocabulary."""
+    with open(public_tokenizers.path(WORDS), encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    whole = (t[:-4] for t in sorted(vocabulary, key=vocabulary.get) if t.endswith("</w>"))
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *(w for w in whole if len(w) >= 3 and w.isascii() and w.isalpha())]))}
+
+
+RANKS = _ranked()
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("4301$5@7!", "aeolssati")
+#: What compounds are joined with.
+SEPARATORS = "-_."
 LONGEST_WORD = max(map(len, RANKS))
 
 
@@ -57,7 +73,7 @@ def guess_cost(value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
 
     Dynamic programming over end positions: best[j] is the least, over parts i..j, of best[i] + the part's cost. Brute-force
     spans and walks carry their best start along, so that whole values of any length can be costed. Parts
-    are dictionary words (rank, times 2 for capitals, times 2 for look-alike digits), dates (days of 200 years), repeats of
+    are dictionary words (rank, times 2 for capitals, times 2 for look-alike digits), separators of compounds (one of three), dates (days of 200 years), repeats of
     a block (its brute-force guesses times the repetitions), keyboard walks (starts times turns) and brute-force spans.
     Each part after the first doubles the guesses, as a guesser must also choose the structure; ties go to the
     earliest start and the kinds in this order. An empty value costs 0.
@@ -95,6 +111,8 @@ def guess_cost(value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
             for form, extra in ((low[i:j], 0), (plain[i:j], 1)):
                 if rank := RANKS.get(form):
                     options.append((best[i][0] + (more if i else 0) + math.log10(2 * rank) + more * (extra + (value[i:j] != low[i:j])), i, 0, "word"))
+        if value[last] in SEPARATORS:
+            options.append((lead + math.log10(len(SEPARATORS)), last, 0, "separator"))
         for i in dates.get(j, ()):
             options.append((best[i][0] + (more if i else 0) + math.log10(200 if j - i == 4 else 73_000), i, 1, "date"))
         for p in range(1, min(8, j - 1) + 1):
@@ -156,7 +174,7 @@ def guess_spans(raw: bytes, low: bytes, strong: float) -> list[tuple[int, int, s
     if any(k in low for k in _CUES):
         for m in CONTEXT.finditer(raw):
             value = m[2].rstrip(b".:!?)]}").decode("utf-8", "replace")
-            if len(value) >= 4 and any(not c.isalpha() for c in value):
+            if len(value) >= 4:
                 cost, _ = guess_cost(value)
                 if cost >= strong:
                     out.append((m.start(2), m.start(2) + len(m[2].rstrip(b".:!?)]}")), "guess", cost))

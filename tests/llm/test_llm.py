@@ -401,6 +401,13 @@ def test_guess_cost_of_all_segmentations():
         assert [a for _, a, _ in parts] == [0, *[b for _, _, b in parts]][:-1]
 
 
+def test_letters_only_values_are_judged_by_cost(spark):
+    secret = {1: "pwd: qXzRtYvLmNpKsWdF", 2: "passphrase is xkqjhzvbnwpt"}
+    prose = {3: "the secret is well-known", 4: "a password is mandatory", 5: "the token is extraordinary here", 6: "login: required", 7: "the pin is long-lost"}
+    got = {r.doc_id: r.text for r in secrets.redact_secrets(frame(spark, [*secret.items(), *prose.items()])).collect()}
+    assert got == {1: "pwd: [secret]", 2: "passphrase is [secret]", **prose}
+
+
 def test_secret_scan_of_odd_texts(spark, odd):
     assert all(r.found == [] for r in secrets.scan_secrets(odd).collect())
     rows = frame(spark, [(1, "é password=hunter2secret99 x"), (2, None), (3, "pwd: Zk9#qP2$vL"), (4, "clean")])
