@@ -78,6 +78,12 @@ def fixed_rate_sampling(spark, d):
     return track_points(spark, d).where("frame % 10 = 0 AND frame <= 5000").select("frame", "track_id", (F.col("frame") / 10.0).alias("t"))
 
 
+@query("SELECT frame, track_id, frame / 10.0::double AS t FROM trk WHERE frame % 10 = 0")
+def fixed_rate_sampling_whole(spark, d):
+    """fixed_rate_sampling without its end: every tenth frame of the whole table."""
+    return track_points(spark, d).where("frame % 10 = 0").select("frame", "track_id", (F.col("frame") / 10.0).alias("t"))
+
+
 @query(f"WITH e AS (SELECT track_id, list_reduce(list(px ORDER BY t, frame), lambda a, x: 0.3::double * x + 0.7::double * a) AS ema FROM trk GROUP BY track_id) SELECT track_id, {_micro('ema')} AS ema FROM e")
 def foot_ema(spark, d):
     return tracks.ema(track_points(spark, d), "px", 0.3).selectExpr("track_id", f"{_micro('ema')} AS ema")

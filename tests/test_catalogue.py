@@ -27,3 +27,11 @@ def test_rows(spark, duck, sf_dir, name):
         rel = duck.sql(catalogue.SQL[name])
         at = [rel.columns.index(c) for c in columns]
         assert got == sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=repr)
+
+
+def test_sampling_goes_to_the_end(spark):
+    d = "/root/testdata/sf0.1"
+    frames = spark.read.parquet(f"{d}/events.parquet").where("event_id % 10 = 0")
+    got = catalogue.QUERIES["fixed_rate_sampling_whole"](spark, d)
+    assert got.count() == frames.count() > 500
+    assert got.agg({"frame": "max"}).first()[0] == frames.agg({"event_id": "max"}).first()[0] > 5000
