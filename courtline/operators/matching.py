@@ -65,7 +65,13 @@ def cosine(a, b):
 
 
 def nearest_prototype(vectors: DataFrame, book: DataFrame, most_labels: int = 1000) -> DataFrame:
-    """Each vector with the label of highest cosine, the least on a tie. The book travels as one row; its labels are bounded."""
-    one = book.limit(most_labels).agg(F.array_sort(F.collect_list(F.struct(F.col("label").alias("l"), F.col("prototype").alias("p")))).alias("book"))
-    scored = F.transform("book", lambda b: F.struct((-cosine(F.col("embedding"), b["p"])).alias("d"), b["l"].alias("l")))
-    return vectors.crossJoin(F.broadcast(one)).withColumn("kit", F.array_min(scored)["l"]).drop("book")
+    """Each vector with the label of highest cosine, the least on a tie. The book travels in blocks of about `most_labels` labels, a row each."""
+    blocks = max(1, -(-book.count() // most_labels))
+    numbered = book.withColumn("block", F.pmod(F.xxhash64("label"), F.lit(blocks)))
+    out, best = vectors, None
+    for k in range(blocks):
+        one = numbered.where(F.col("block") == k).agg(F.array_sort(F.collect_list(F.struct(F.col("label").alias("l"), F.col("prototype").alias("p")))).alias("book"))
+        scored = F.array_min(F.transform("book", lambda b: F.struct((-cosine(F.col("embedding"), b["p"])).alias("d"), b["l"].alias("l"))))
+        out = out.crossJoin(F.broadcast(one)).withColumn("best", scored if best is None else F.least(F.col("best"), scored)).drop("book")
+        best = "best"
+    return out.withColumn("kit", F.col("best")["l"]).drop("best")

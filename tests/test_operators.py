@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from courtline.functions import geometry, text
-from courtline.operators import folds
+from courtline.operators import folds, matching
 
 
 def one(spark, expr, **values):
@@ -54,3 +54,16 @@ def test_countdown_takes_the_longest_chain_and_holds_its_end():
 def test_fragments_of_other_teams_stay_apart():
     row = lambda i, t, team: {"track_id": i, "t0": t, "x0": 1.0, "y0": 1.0, "t1": t + 1, "x1": 1.0, "y1": 1.0, "team": team, "jersey": None}
     assert folds.merge_fragments([row(1, 0, "home"), row(2, 2, None), row(3, 4, "away"), row(4, 5, "home")]) == {1: 1, 2: 1, 3: 3, 4: 1}
+
+
+@pytest.mark.parametrize("most", [1, 3, 1000])
+def test_nearest_prototype_over_all_labels(spark, most):
+    rnd = np.random.default_rng(0)
+    labels = [f"l{k:02}" for k in range(12)]
+    book, vectors = rnd.normal(size=(12, 4)), rnd.normal(size=(60, 4))
+    b = spark.createDataFrame([(x, p) for x, p in zip(labels, book.tolist(), strict=True)], "label string, prototype array<double>")
+    v = spark.createDataFrame([(i, x) for i, x in enumerate(vectors.tolist())], "vec_id int, embedding array<double>")
+    cosine = vectors @ book.T / np.linalg.norm(book, axis=1)
+    got = matching.nearest_prototype(v, b, most)
+    assert got.columns == ["vec_id", "embedding", "kit"]
+    assert {r.vec_id: r.kit for r in got.collect()} == {i: labels[k] for i, k in enumerate(cosine.argmax(1))}
