@@ -10,7 +10,7 @@ from courtline.llm.batches import map_texts
 
 #: Bytes of context at most.
 ORDER = 4
-#: Training documents over all languages, dealt evenly; texts of more bytes than the second bound are not taken.
+#: Training documents over all languages, dealt evenly; of a longer text so many bytes are learned.
 MAX_DOCS, MAX_BYTES = 2_000, 32_768
 UNKNOWN = "und"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -147,19 +147,23 @@ _NOT_ASCII_LETTERS = bytes(b for b in range(256) if not chr(b).isalpha() or b >
 
 
 def training_sample(docs: DataFrame, doc_id: str, text: str, lang: str, max_docs: int, max_bytes: int) -> dict[str, list[bytes]]:
-    """At most about `max_docs` documents, the same number of each language, chosen by a hash of the id."""
-    usable = docs.select(F.col(doc_id).alias("i"), F.col(lang).cast("string").alias("l"), F.col(text).cast("string").alias("t")).where(f"l IS NOT NULL AND octet_length(t) BETWEEN 1 AND {max_bytes}")
-    counts = {r.l: r.n for r in usable.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_docs).collect()}
+    """At most about `max_docs` documents, the same number of each language and one at least, chosen by a hash of the id.
+
+    Of a text of more than `max_bytes` bytes its first `max_bytes` are learned.
+    """
+    place = F.pmod(F.xxhash64(F.col(doc_id), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+    whole = docs.select(F.col(doc_id).alias("i"), F.col(lang).cast("string").alias("l"), F.col(text).cast("string").alias("t"), place.alias("h"))
+    usable = whole.where("l IS NOT NULL AND octet_length(t) >= 1").withColumn("t", F.substring("t", 1, max_bytes))
+    counts = {r.l: (r.n, r.h) for r in usable.groupBy("l").agg(F.count("*").alias("n"), F.min("h").alias("h")).orderBy(F.desc("n"), "l").limit(max_docs).collect()}
     if not counts:
         return {}
     share = max(1, max_docs // len(counts))
-    place = F.pmod(F.xxhash64(F.col("i"), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    wanted = F.coalesce(*[F.when(F.col("l") == x, F.lit(min(1.0, 1.2 * share / n))) for x, n in counts.items()], F.lit(0.0))
-    rows = usable.withColumn("h", place).where(F.col("h") < wanted).orderBy("h", "i").limit(2 * max_docs).collect()
+    wanted = F.coalesce(*[F.when(F.col("l") == x, F.lit(max(h, min(1.0, 1.2 * share / n)))) for x, (n, h) in counts.items()], F.lit(-1.0))
+    rows = usable.where(F.col("h") <= wanted).orderBy(F.col("h") / F.greatest(wanted, F.lit(1e-12)), "h", "i").limit(3 * max_docs).collect()
     out: dict[str, list[bytes]] = {}
-    for r in rows:
+    for r in sorted(rows, key=lambda r: (r.h, r.i is not None, r.i)):
         if len(out.setdefault(r.l, [])) < share:
-            out[r.l].append(r.t.encode())
+            out[r.l].append(r.t.encode()[:max_bytes].decode("utf-8", "ignore").encode())
     return out
 
 

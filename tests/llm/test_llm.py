@@ -289,6 +289,17 @@ def test_language_id(spark, odd):
     assert langid.identify_languages(odd.limit(0), docs).count() == 0
 
 
+def test_languages_of_long_documents_are_learned(spark):
+    rows = [(i, "the cat sat on the mat and looked at the dog", "en") for i in range(20)] + [(100 + i, "é" + "le chat et le chien dans la maison " * 2000, "fr") for i in range(3)]
+    train = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    learned = langid.training_sample(train, "doc_id", "text", "lang", 40, langid.MAX_BYTES)
+    assert {x: len(t) for x, t in learned.items()} == {"en": 20, "fr": 3} and all(len(t) == langid.MAX_BYTES for t in learned["fr"])
+    asked = frame(spark, [(1, "le chien et le chat"), (2, "the dog and the cat")])
+    assert {r.doc_id: r.lang_pred for r in langid.identify_languages(asked, train).collect()} == {1: "fr", 2: "en"}
+    many = spark.createDataFrame([(1000 * k + i, f"text {k}", f"l{k}") for k in range(20) for i in range(30)], "doc_id bigint, text string, lang string")
+    assert len(langid.training_sample(many, "doc_id", "text", "lang", 20, langid.MAX_BYTES)) == 20
+
+
 def test_code_lengths_by_table_and_by_tree():
     model = langid.Model({"a": [b"banana band"] * 3, "b": [b"abracadabra", b""]})
     texts = [b"banana", b"zzz", b"Abra cad", "éa".encode()]
