@@ -1,26 +1,26 @@
-"""Vectorised 64-bit hashes of the words of many texts and of their runs of n words."""
+"""Words as exact numbers, vectorised 64-bit hashes of words, and hashes of runs of n words."""
 
 from __future__ import annotations
 
+import re
+from hashlib import blake2b
+
 import numpy as np
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: Fixed odd multipliers and a fixed random number for each byte.
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BYTES = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
-#: Bytes hashed at once; a longer text is hashed in parts cut between words.
+_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+_SPACE = re.compile(rb"[\x09-\x0d\x20]")
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes hashed at once, masks of the first 0 to 8 of them, and fixed odd multipliers of the two families.
+_LANE = 8
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LANE_FACTOR = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+#: Bytes of the longest word that is hashed by lanes; longer ones are hashed by BLAKE2.
+_LONGEST = 128
+#: Bytes split into words at once; a longer text is split in parts cut between words.
 PIECE = 1 << 20
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the finaliser of MurmurHash3)."""
     x = x ^ (x >> np.uint64(33))
@@ -30,56 +30,100 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _inverse(base: np.uint64) -> np.uint64:
-    return np.uint64(pow(int(base), -1, 1 << 64))
-
-
-_POW, _INV = _powers(_BASE, PIECE + 2), _powers(_inverse(_BASE), PIECE + 2)
-
-
-def _piece_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    n = len(buf)
-    power, inverse = (_POW, _INV) if n < len(_POW) else (_powers(_BASE, n + 1), _powers(_inverse(_BASE), n + 1))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[buf] * power[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+def pieces(raw: bytes) -> list[bytes]:
+    """The text in parts of about PIECE bytes that cut no word."""
+    out, at = [], 0
+    while len(raw) - at > PIECE:
+        cut = _SPACE.search(raw, at + PIECE)
+        if cut is None:
+            break
+        out.append(raw[at : cut.start()])
+        at = cut.start()
+    out.append(raw[at:] if at else raw)
+    return out
+
+
+class Lexicon(dict):
+    """Number of each word (a run without 0x20 and 0x09 to 0x0D), in order of first use. Equal numbers are equal words."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+    def numbers(self, raw: bytes, lower: bool = False) -> np.ndarray:
+        """The words of a text by number; `lower` folds A-Z first."""
+        parts = []
+        for piece in pieces(raw):
+            words = (piece.translate(_LOWER) if lower else piece).split()
+            parts.append(np.fromiter(map(self.__getitem__, words), np.int32, len(words)))
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
+class Words:
+    """The words of some texts (runs without 0x20 and 0x09 to 0x0D) in one buffer; `lower` folds A-Z first."""
+
+    def __init__(self, texts: list[bytes], lower: bool) -> None:
+        joined = b" ".join(texts)
+        self.raw = (joined.translate(_LOWER) if lower else joined) + bytes(_LANE)
+        buf = np.frombuffer(self.raw, np.uint8)[: len(joined)]
+        inside = np.concatenate(([False], ~_IS_SPACE[buf], [False]))
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        self.starts, self.ends = edge[::2], edge[1::2]
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])]) if texts else np.zeros(0, np.int64)
+        #: number of words of each text
+        self.counts = np.diff(np.append(np.searchsorted(self.starts, begin), len(self.starts)))
+
+    def lanes(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Eight bytes from each place, zero after `left` of them."""
+        every = np.ndarray((len(self.raw) - _LANE + 1,), "<u8", self.raw, 0, (1,))
+        return every[at] & _MASKS[np.minimum(left, _LANE)]
+
+    def hashes(self, which: int = 0) -> np.ndarray:
+        """64-bit hash of each word; `which` picks one of two families."""
+        size = self.ends - self.starts
+        out = size.astype(np.uint64) * _LANE_FACTOR[which]
+        long = size > _LONGEST
+        at = np.flatnonzero(~long)
+        for k in range(0, _LONGEST, _LANE):
+            at = at[size[at] > k] if k else at
+            if not len(at):
+                break
+            h = (out[at] ^ self.lanes(self.starts[at] + k, size[at] - k)) * _LANE_FACTOR[which]
+            out[at] = h ^ (h >> np.uint64(29))
+        out = mix(out)
+        for i in np.flatnonzero(long).tolist():
+            out[i] = int.from_bytes(blake2b(self.raw[self.starts[i] : self.ends[i]], digest_size=8, key=bytes([which])).digest(), "little")
+        return out
+
+    def equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether word a[i] is word b[i], byte by byte."""
+        size = self.ends[a] - self.starts[a]
+        same = size == self.ends[b] - self.starts[b]
+        at = np.flatnonzero(same & (size <= _LONGEST))
+        for k in range(0, _LONGEST, _LANE):
+            at = at[size[at] > k]
+            if not len(at):
+                break
+            same[at] = self.lanes(self.starts[a[at]] + k, size[at] - k) == self.lanes(self.starts[b[at]] + k, size[at] - k)
+            at = at[same[at]]
+        for i in np.flatnonzero(same & (size > _LONGEST)).tolist():
+            same[i] = self.raw[self.starts[a[i]] : self.ends[a[i]]] == self.raw[self.starts[b[i]] : self.ends[b[i]]]
+        return same
 
 
 def word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (runs without white space: 0x20, 0x09 to 0x0D) of all texts, and the words of each text.
-
-    `lower` folds A-Z first.
-    """
-    if not texts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    buf = np.frombuffer(b" ".join(texts), np.uint8)
-    lengths = np.array([len(t) for t in texts], np.int64)
-    begin = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
-    if lower:
-        buf = _LOWER[buf]
-    inside = ~_SPACE[buf]
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    out = np.zeros(len(starts), np.uint64)
-    lo = 0
-    while lo < len(starts):
-        at = starts[lo]
-        hi = max(lo + 1, int(np.searchsorted(ends, at + PIECE, side="right")))
-        out[lo:hi] = _piece_hashes(buf[at : ends[hi - 1]], starts[lo:hi] - at, ends[lo:hi] - at)
-        lo = hi
-    counts = np.diff(np.concatenate((np.searchsorted(starts, begin), [len(starts)])))
-    return out, counts
+    """Hash of each word of all texts, and the number of words of each text."""
+    words = Words(texts, lower)
+    return words.hashes(), words.counts
 
 
-_RUN = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA5A3564E1B873593 | 1))
+#: Fixed odd multipliers of the two families.
+_RUN = (0xD6E8FEB86659FD93, 0xA5A3564E1B873593)
 
 
-def run_hashes(words: np.ndarray, n: int, which: int = 0) -> np.ndarray:
-    """Hash of each run of n words; `which` picks one of two independent families."""
-    if len(words) < n:
-        return np.zeros(0, np.uint64)
-    coefficients = _powers(_RUN[which], n)
-    out = np.zeros(len(words) - n + 1, np.uint64)
+def run_hashes(words: np.ndarray, starts: np.ndarray, n: int, which: int = 0) -> np.ndarray:
+    """Hash of the n words from each of `starts`; `which` picks one of two families."""
+    out = np.zeros(len(starts), np.uint64)
     for k in range(n):
-        out += words[k : len(words) - n + 1 + k] * coefficients[k]
+        out += words[starts + k] * np.uint64(pow(_RUN[which], k, 1 << 64))
     return mix(out + np.uint64(n))

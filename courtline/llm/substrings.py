@@ -1,156 +1,279 @@
-"""Substring dedup by relative Lempel-Ziv parsing of each document against the blocks of all earlier documents.
+"""Substring dedup by relative Lempel-Ziv factoring of each document against earlier documents as reference blocks.
 
-Every document is a reference block, indexed by its seeds, the runs of 13 words. The index is spread over buckets
-(see exchange). A document is factored from left to right: a factor goes on while each next seed is indexed in the same
-earlier block, and where it ends, the seeds across its boundary are looked up as well, as they may begin
-in another block. Factors of a seed or more are the duplicate spans.
+Every document is a reference block, indexed by its seeds, the runs of 13 words; the index is spread over buckets (see
+exchange) and names the earliest block of each seed's hash. A stretch of seeds of one block goes there as words, and the
+block's suffix array factors it: the longest match from the left, then the next from the first seed across its end. Factors
+of a seed or more are the duplicate spans. The words decide: a seed that its block turns out not to have (its hash
+collided) is looked for by its words in every chunk that has the hash.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema as spark_schema
 
 from courtline.llm.batches import binary_lists
-from courtline.llm.exchange import Distinct, Runs, chunked, pack_bits, plan, unpack_bits
+from courtline.llm.exchange import Distinct, Runs, bucket_of, chunked, pack_bits, plan, short, unpack_bits, unshort
+from courtline.llm.factoring import Block
+from courtline.llm.hashing import Lexicon, pieces
 
 SEED = 13
 #: Stands for a null id: after every other, and earlier than none.
 _LAST = np.iinfo(np.int64).max
+#: Bytes of a seed's hash that travel beside its bucket.
+_KEY = 6
+
+_I, _L, _B = pa.int32(), pa.int64(), pa.binary()
+_ASKED = pa.schema({"chunk": _I, "bucket": _I, "hashes": _B, "docs": _B, "counts": _B})
+_ANSWERED = pa.schema({"chunk": _I, "bucket": _I, "found": _B, "sources": _B, "homes": _B, "times": _B})
+_STRETCHES = pa.schema({"home": _I, "chunk": _I, "sources": pa.list_(_L), "bodies": pa.list_(_B), "uses": pa.list_(_B)})
+_FOUND = pa.schema({"chunk": _I, "rows": _B, "starts": _B, "words": _B, "sources": _B, "ats": _B})
+_FACTORED = _FOUND.append(pa.field("missing", pa.list_(pa.struct({"row": _I, "start": _I, "words": _B}))))
+_MISSING = pa.schema({"bucket": _I, "key": _L, "chunk": _I, "row": _I, "start": _I, "words": _B})
+_HELD = pa.schema({"chunk": _I, "keys": _B})
+_SPELLED = pa.schema({"words": _B, "doc": _L})
+_FACTORS = pa.list_(pa.struct({"start": _I, "words": _I, "source": _L, "source_start": _I}))
+_OUT = pa.schema({"doc": _L, "n_words": _L, "n_removed": _L, "kept_text": pa.string(), "factors": _FACTORS})
 
-_ASKED = "chunk int, bucket int, hashes binary, docs binary, counts binary"
-_ANSWERED = "chunk int, bucket int, found binary, sources binary, times binary"
-_FACTORS = "array<struct<start:int,words:int,source:bigint>>"
 
+def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-def _ordered(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Ids (null as the last), texts and their places in the table, by id."""
+
+def _ordered(table: pa.Table) -> tuple[np.ndarray, list[bytes], list[int]]:
+    """Ids (null as the last), texts and places in the table, by id, then text: alike wherever a chunk is read."""
     ids = table.column("doc").fill_null(_LAST).to_numpy()
-    order = np.argsort(ids, kind="stable")
-    texts = binary_lists(table.column("text").combine_chunks())
-    return ids[order], [texts[i] or b"" for i in order], order
+    texts = [t or b"" for t in binary_lists(table.column("text").combine_chunks())]
+    order = np.argsort(ids, kind="stable").tolist()
+    if len(np.unique(ids)) < len(ids):
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+    return ids[order], [texts[i] for i in order], order
 
 
-def _rle(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    cut = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
-    return values[cut], np.diff(np.append(cut, len(values)))
+def _rle(*values: np.ndarray) -> list[np.ndarray]:
+    """Values without the repeats of neighbours (equal in all of them), and how often each stands there."""
+    new = np.zeros(len(values[0]), bool)
+    for v in values:
+        new[1:] |= v[1:] != v[:-1]
+    new[:1] = True
+    cut = np.flatnonzero(new)
+    return [*(v[cut] for v in values), np.diff(np.append(cut, len(new))).astype(np.int32)]
 
 
-def _ask(seed: int, buckets: int):
+def _ask(seed: int, buckets: int, bits: int):
     def ask(key: tuple, table: pa.Table) -> pa.Table:
+        """One row a bucket: the chunk's distinct seeds, and the first document of each."""
         ids, texts, _ = _ordered(table)
-        runs = Runs(texts, seed, lower=False, whole=False)
-        distinct = Distinct(runs.first, runs.second, buckets)
-        owner = np.repeat(ids, runs.counts)[distinct.at]
-        rows = []
-        for bucket, lo, hi in zip(distinct.buckets.tolist(), distinct.lo.tolist(), distinct.hi.tolist(), strict=True):
+        runs = Runs(texts, seed, lower=False, whole=False, bits=bits)
+        distinct = Distinct(runs.first, buckets)
+        owner, rows = ids[runs.owner][distinct.at], []
+        for bucket, lo, hi in distinct.ranges():
             docs, counts = _rle(owner[lo:hi])
-            rows.append((bucket, distinct.keys[lo:hi].tobytes(), docs.tobytes(), counts.astype(np.int32).tobytes()))
-        chunk = key[0].as_py()
-        return pa.table({"chunk": pa.array([chunk] * len(rows), pa.int32()), "bucket": pa.array([r[0] for r in rows], pa.int32()), **{n: pa.array([r[k] for r in rows], pa.binary()) for k, n in ((1, "hashes"), (2, "docs"), (3, "counts"))}})
+            rows.append((key[0].as_py(), bucket, short(distinct.keys[lo:hi], _KEY), docs.tobytes(), counts.tobytes()))
+        return _rows(_ASKED, rows)
 
     return ask
 
 
 def _answer(key: tuple, table: pa.Table) -> pa.Table:
-    """For each chunk which of its hashes begin in an earlier document, and the first such document of each."""
-    hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+    """For each chunk which of its hashes begin in an earlier document, and the first such document of each, with its chunk."""
+    hashes = [unshort(x, _KEY) for x in table.column("hashes").to_pylist()]
+    chunks = table.column("chunk").to_pylist()
     docs = [np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, np.int32)) for d, c in zip(table.column("docs").to_pylist(), table.column("counts").to_pylist(), strict=True)]
     h, d = np.concatenate(hashes), np.concatenate(docs)
-    order = np.lexsort((d, h))
-    new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
-    least = np.empty(len(h), np.int64)
-    least[order] = d[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    home = np.repeat(np.array(chunks, np.int32), [len(x) for x in hashes])
+    order = np.lexsort((home, d, h))
+    group = np.cumsum(np.concatenate(([0], h[order][1:] != h[order][:-1])))
+    begin = np.searchsorted(group, np.arange(group[-1] + 1))
+    least, at_home = np.empty(len(h), np.int64), np.empty(len(h), np.int32)
+    least[order], at_home[order] = d[order][begin][group], home[order][begin][group]
     found, at, rows = least < d, 0, []
-    for own, chunk in zip(hashes, table.column("chunk").to_pylist(), strict=True):
+    for own, chunk in zip(hashes, chunks, strict=True):
         hit = found[at : at + len(own)]
         if hit.any():
-            sources, times = _rle(least[at : at + len(own)][hit])
-            rows.append((chunk, pack_bits(hit), sources.tobytes(), times.astype(np.int32).tobytes()))
+            rows.append((chunk, key[0].as_py(), pack_bits(hit), *(x.tobytes() for x in _rle(least[at : at + len(own)][hit], at_home[at : at + len(own)][hit]))))
         at += len(own)
-    bucket = key[0].as_py()
-    return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([bucket] * len(rows), pa.int32()), **{n: pa.array([r[k] for r in rows], pa.binary()) for k, n in ((1, "found"), (2, "sources"), (3, "times"))}})
+    return _rows(_ANSWERED, rows)
 
 
-def parse(source: np.ndarray, begins: np.ndarray, counts: np.ndarray, seed: int) -> list[list[tuple[int, int, int]]]:
-    """Factors (first word, words, source) of each text from the source of each seed (-1: none), greedily from the left.
+def _words(raw: bytes) -> list[bytes]:
+    return [w for piece in pieces(raw) for w in piece.split()]
 
-    A factor is the longest stretch of seeds with one source; the seeds after its last one lie across the boundary and
-    begin the next factor if they have a source.
-    """
-    owner = np.repeat(np.arange(len(counts)), counts)
-    hit = source >= 0
-    same = np.concatenate(([False], (source[1:] == source[:-1]) & (owner[1:] == owner[:-1]))) if len(source) else hit
-    first = np.flatnonzero(hit & ~same)
-    last = np.flatnonzero(hit & ~np.append(same[1:], False)) if len(source) else first
-    out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(counts))]
-    for a, b, o in zip(first.tolist(), last.tolist(), owner[first].tolist(), strict=True):
-        out[o].append((a - int(begins[o]), b - a + seed, int(source[a])))
-    return out
-
-
-def _finish(seed: int, buckets: int, schema: pa.Schema):
-    def finish(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+
+def _stretches(seed: int, buckets: int, bits: int):
+    def stretches(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        """The chunk's stretches of seeds of one earlier document, as words, for the chunk that holds it."""
+        ids, texts, _ = _ordered(table)
+        runs = Runs(texts, seed, lower=False, whole=False, bits=bits)
+        distinct = Distinct(runs.first, buckets)
+        least = ids[runs.owner][distinct.at]
+        homes = np.full(len(distinct.keys), key[0].as_py(), np.int32)
+        got = dict(zip(answers.column("bucket").to_pylist(), zip(*(answers.column(c).to_pylist() for c in ("found", "sources", "homes", "times")), strict=True), strict=True))
+        for bucket, lo, hi in distinct.ranges():
+            if bucket in got:
+                found, sources, where, times = got[bucket]
+                hit = unpack_bits(found, hi - lo)
+                times = np.frombuffer(times, np.int32)
+                least[lo:hi][hit] = np.repeat(np.frombuffer(sources, np.int64), times)
+                homes[lo:hi][hit] = np.repeat(np.frombuffer(where, np.int32), times)
+        source, home = least[distinct.of], homes[distinct.of]
+        seen = source < ids[runs.owner]
+        goes_on = seen[1:] & seen[:-1] & (runs.owner[1:] == runs.owner[:-1]) & (source[1:] == source[:-1]) & (home[1:] == home[:-1])
+        first = np.flatnonzero(seen & ~np.concatenate(([False], goes_on)))
+        last = np.flatnonzero(seen & ~np.append(goes_on, False))
+        uses: dict[tuple[int, int, bytes], list[tuple[int, int]]] = defaultdict(list)
+        row, words = -1, []
+        for a, b in zip(first.tolist(), last.tolist(), strict=True):
+            if runs.owner[a] != row:
+                row = int(runs.owner[a])
+                words = _words(texts[row])
+            start = int(runs.starts[a] - runs.begin[row])
+            uses[int(home[a]), int(source[a]), b" ".join(words[start : start + b - a + seed])].append((row, start))
+        out: dict[int, tuple[list, list, list]] = defaultdict(lambda: ([], [], []))
+        for (where, doc, body), at in uses.items():
+            for column, value in zip(out[where], (doc, body, np.array(at, np.int32).tobytes()), strict=True):
+                column.append(value)
+        return _rows(_STRETCHES, [(where, key[0].as_py(), *columns) for where, columns in out.items()])
+
+    return stretches
+
+
+def _factor(seed: int, bits: int):
+    def factor(key: tuple, table: pa.Table, asked: pa.Table) -> pa.Table:
+        """Factors of the stretches that other chunks sent against this chunk's documents."""
+        if not asked.num_rows or not table.num_rows:
+            return _rows(_FACTORED, [])
+        ids, texts, _ = _ordered(table)
+        rows, lexicon, blocks = [], Lexicon(), {}
+        todo = [(r["chunk"], *x) for r in asked.to_pylist() for x in zip(r["sources"], r["bodies"], r["uses"], strict=True)]
+        for doc in {x[1] for x in todo}:
+            lo, hi = np.searchsorted(ids, [doc, doc + 1])
+            blocks[doc] = Block([lexicon.numbers(t) for t in texts[lo:hi]])
+        out: dict[int, list] = defaultdict(list)
+        lacking: dict[int, list] = defaultdict(list)
+        for chunk, doc, body, uses in todo:
+            factors, missing = blocks[doc].factors(lexicon.numbers(body).astype(np.int64), seed)
+            words = _words(body) if missing else []
+            for row, start in np.frombuffer(uses, np.int32).reshape(-1, 2).tolist():
+                out[chunk] += [(row, start + a, n, doc, at) for a, n, at in factors]
+                lacking[chunk] += [{"row": row, "start": start + a, "words": b" ".join(words[a : a + seed])} for a in missing]
+        for chunk in out.keys() | lacking.keys():
+            columns = list(zip(*out[chunk], strict=True)) or [()] * 5
+            kinds = (np.int32, np.int32, np.int32, np.int64, np.int32)
+            rows.append((chunk, *(np.array(c, t).tobytes() for c, t in zip(columns, kinds, strict=True)), lacking[chunk]))
+        return _rows(_FACTORED, rows)
+
+    return factor
+
+
+def _missing(seed: int, buckets: int, bits: int):
+    def missing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Seeds that the block named for their hash lacks."""
+        for batch in batches:
+            rows = []
+            for chunk, own in zip(batch.column("chunk").to_pylist(), batch.column("missing").to_pylist(), strict=True):
+                for x in own:
+                    key = Runs([x["words"]], seed, lower=False, whole=False, bits=bits).first
+                    rows.append((int(bucket_of(key, buckets)[0]), int(unshort(short(key, _KEY), _KEY)[0]), chunk, x["row"], x["start"], x["words"]))
+            yield from _rows(_MISSING, rows).to_batches()
+
+    return missing
+
+
+def _holders(key: tuple, asked: pa.Table, missing: pa.Table) -> pa.Table:
+    """The chunks that have the hash of a missing seed."""
+    wanted, rows = np.unique(missing.column("key").to_numpy().astype(np.uint64)), []
+    for chunk, hashes in zip(asked.column("chunk").to_pylist(), asked.column("hashes").to_pylist(), strict=True):
+        if len(own := np.intersect1d(wanted, unshort(hashes, _KEY))):
+            rows.append((chunk, own.tobytes()))
+    return _rows(_HELD, rows)
+
+
+def _spelled(seed: int, bits: int):
+    def spelled(key: tuple, table: pa.Table, hints: pa.Table) -> pa.Table:
+        """The chunk's seeds of those hashes by their words, each with its first document."""
+        if not hints.num_rows or not table.num_rows:
+            return _rows(_SPELLED, [])
+        ids, texts, _ = _ordered(table)
+        runs = Runs(texts, seed, lower=False, whole=False, bits=bits)
+        wanted = np.concatenate([np.frombuffer(x, np.uint64) for x in hints.column("keys").to_pylist()])
+        first: dict[bytes, int] = {}
+        row, words = -1, []
+        for a in np.flatnonzero(np.isin(unshort(short(runs.first, _KEY), _KEY), wanted)).tolist():
+            if runs.owner[a] != row:
+                row = int(runs.owner[a])
+                words = _words(texts[row])
+            start = int(runs.starts[a] - runs.begin[row])
+            first.setdefault(b" ".join(words[start : start + seed]), int(ids[row]))
+        return _rows(_SPELLED, [*first.items()])
+
+    return spelled
+
+
+def _finish(seed: int):
+    def finish(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
         ids, texts, order = _ordered(table)
-        runs = Runs(texts, seed, lower=False, whole=False)
-        distinct = Distinct(runs.first, runs.second, buckets)
-        owner = np.repeat(ids, runs.counts)
-        least = owner[distinct.at]
-        by_bucket = dict(zip(answers.column("bucket").to_pylist(), zip(*(answers.column(c).to_pylist() for c in ("found", "sources", "times")), strict=True), strict=True))
-        for bucket, lo, hi in zip(distinct.buckets.tolist(), distinct.lo.tolist(), distinct.hi.tolist(), strict=True):
-            if got := by_bucket.get(bucket):
-                least[lo:hi][unpack_bits(got[0], hi - lo)] = np.repeat(np.frombuffer(got[1], np.int64), np.frombuffer(got[2], np.int32))
-        earliest = least[distinct.of_run]
-        begins = np.cumsum(runs.counts) - runs.counts
-        seen = earliest < owner
-        # ids may be negative: sources are numbered for the parse
-        names, number = np.unique(earliest, return_inverse=True)
-        factors = parse(np.where(seen, number, -1), begins, runs.counts, seed)
-        factors = [[(a, n, int(names[s])) for a, n, s in own] for own in factors]
-        removed, kept = [], []
-        for text, own in zip(texts, factors, strict=True):
-            words = text.split()
+        kinds = {"rows": np.int32, "starts": np.int32, "words": np.int32, "sources": np.int64, "ats": np.int32}
+        columns = [[v for x in found.column(c).to_pylist() for v in np.frombuffer(x, t).tolist()] for c, t in kinds.items()]
+        factors: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+        for row, start, words, source, at in zip(*columns, strict=True):
+            if source < ids[row]:
+                factors[row].append((start, words, source, at))
+        out = []
+        for i, text, own in zip(table.take(pa.array(order, pa.int64())).column("doc").to_pylist(), texts, factors, strict=True):
+            words = _words(text)
+            kept = words
             if own:
+                own.sort()
                 gone = np.zeros(len(words), bool)
-                for a, n, _ in own:
-                    gone[a : a + n] = True
-                words = [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
-                removed.append(int(gone.sum()))
-            else:
-                removed.append(0)
-            kept.append(b" ".join(words).decode("utf-8", "replace"))
-        back = table.take(pa.array(order))
-        return pa.table(
-            [
-                back.column("doc"),
-                pa.array(runs.words, pa.int64()),
-                pa.array(removed, pa.int64()),
-                pa.array(kept, pa.string()),
-                pa.array([[{"start": a, "words": n, "source": s} for a, n, s in own] for own in factors], schema.field("factors").type),
-            ],
-            schema=schema,
-        )
+                for start, n, _, _ in own:
+                    gone[start : start + n] = True
+                kept = [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
+            shown = [{"start": a, "words": n, "source": s, "source_start": None if at < 0 else at} for a, n, s, at in own]
+            out.append((i, len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "replace"), shown))
+        return _rows(_OUT, out)
 
     return finish
 
 
-def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text (the kept words joined by one space) and factors (start, words, source).
+def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = SEED, hash_bits: int = 64) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text (the kept words joined by one space) and factors (start, words, source, source_start).
 
     A word goes if it lies in a run of `seed` words that also starts in a document with a smaller id; runs are judged
-    on the input. Ids are integers. A null text has no words; a null id comes after all others and is no source of another
-    null; rows with the same id never remove each other's words; other columns are not looked at.
+    on the input, by their words. Each factor is a run of words of its source, the earliest document of its seeds, from
+    word source_start on (null for a seed that was found after a collision); neighbours overlap where seeds cross
+    the end of one. Ids are integers. A null text has no words; a null id comes after all others and is no source of another
+    null; rows with the same id never remove each other's words; other columns are not looked at. A text of any length is
+    handled by one task, in some 60 bytes of memory a byte of text. `hash_bits` under 64 is for tests of collisions.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
+    chunks, buckets, parts = plan(docs, text)
+    table = chunked(docs, doc_id, text, chunks, parts)
+    rows = table.groupBy("chunk")
+    asked = rows.applyInArrow(_ask(seed, buckets, hash_bits), spark_schema(_ASKED)).repartition(parts, "bucket")
+    answered = asked.groupBy("bucket").applyInArrow(_answer, spark_schema(_ANSWERED))
+    stretches = rows.cogroup(answered.groupBy("chunk")).applyInArrow(_stretches(seed, buckets, hash_bits), spark_schema(_STRETCHES))
+    factored = rows.cogroup(stretches.groupBy("home")).applyInArrow(_factor(seed, hash_bits), spark_schema(_FACTORED)).repartition(parts, "chunk")
+    # collisions: none of these tables has a row unless two different seeds have one hash
+    missing = factored.mapInArrow(_missing(seed, buckets, hash_bits), spark_schema(_MISSING))
+    holders = asked.join(missing.select("bucket").distinct(), "bucket", "left_semi").groupBy("bucket").cogroup(missing.groupBy("bucket")).applyInArrow(_holders, spark_schema(_HELD))
+    spelled = table.join(holders.select("chunk").distinct(), "chunk", "left_semi").groupBy("chunk").cogroup(holders.groupBy("chunk")).applyInArrow(_spelled(seed, hash_bits), spark_schema(_SPELLED))
+    earliest = spelled.groupBy("words").agg(F.min("doc").alias("source"))
+    solved = missing.join(earliest, "words").select("chunk", "row", "start", "source")
+    found = factored.drop("missing").unionByName(_as_found(solved, seed))
+    made = rows.cogroup(found.groupBy("chunk")).applyInArrow(_finish(seed), spark_schema(_OUT))
+    return made.select(F.col("doc").alias(doc_id), "n_words", "n_removed", "kept_text", "factors")
 
-    from courtline.llm.batches import schema_of
 
-    chunks, buckets = plan(docs, text)
-    table = chunked(docs, doc_id, text, chunks)
-    out = f"doc bigint, n_words bigint, n_removed bigint, kept_text string, factors {_FACTORS}"
-    asked = table.groupBy("chunk").applyInArrow(_ask(seed, buckets), _ASKED)
-    answered = asked.groupBy("bucket").applyInArrow(_answer, _ANSWERED)
-    made = table.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(_finish(seed, buckets, to_arrow_schema(schema_of(out))), out)
-    return made.select(F.col("doc").alias(doc_id), "n_words", "n_removed", "kept_text", "factors")
+def _as_found(solved: DataFrame, seed: int) -> DataFrame:
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(x["chunk"], *(np.array([v], t).tobytes() for v, t in ((x["row"], np.int32), (x["start"], np.int32), (seed, np.int32), (x["source"], np.int64), (-1, np.int32)))) for x in batch.to_pylist()]
+            yield from _rows(_FOUND, rows).to_batches()
+
+    return solved.mapInArrow(pack, spark_schema(_FOUND))

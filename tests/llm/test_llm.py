@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from courtline.llm import bpe, components, decontam, exchange, gif, hashing, jaccard, langid, quality, queries, secrets, substrings, toxicity, warc
+from courtline.llm import bpe, components, decontam, exchange, factoring, gif, hashing, jaccard, langid, quality, queries, secrets, substrings, toxicity, warc
 
 ODD = [None, "", " ", "a", "the the the", "É" * 40, "x " * 30_000, "\x00\x1c\x85 a", "🎉 ünï"]
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_words string, score string, found int, media string"
@@ -251,28 +251,82 @@ def brute_substrings(rows, n):
     return sorted(out, key=str)
 
 
-def test_substring_dedup(spark):
+@pytest.mark.parametrize("bits", [64, 5])
+def test_substring_dedup(spark, bits):
     rnd = random.Random(4)
     vocabulary = ["".join(rnd.choices("abé", k=2)) for _ in range(3)]
     rows = [(rnd.choice([None, *range(-9, 10)]), rnd.choice([None, ""]) if rnd.random() < 0.1 else rnd.choice([" ", "\t", "  \n", "\xa0", "\x1c"]).join(rnd.choices(vocabulary, k=rnd.randint(1, 60)))) for _ in range(70)]
-    got = substrings.dedup_substrings(frame(spark, rows)).collect()
+    got = substrings.dedup_substrings(frame(spark, rows), hash_bits=bits).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=str) == brute_substrings(rows, 13)
     assert all(f.words >= 13 and (r.doc_id is None or f.source < r.doc_id) for r in got for f in r.factors)
 
 
+def test_factors_are_parts_of_their_sources(spark):
+    texts = {r.doc_id: (r.text or "").encode().split() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = substrings.dedup_substrings(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=str) == brute_substrings([(i, b" ".join(w).decode()) for i, w in texts.items()], 13)
+    factors = [(r.doc_id, f) for r in got for f in r.factors]
+    assert len(factors) > 20
+    for i, f in factors:
+        own, source = texts[i][f.start : f.start + f.words], texts[f.source]
+        assert own == source[f.source_start : f.source_start + f.words]
+
+
+def test_greedy_factoring():
+    rnd = random.Random(11)
+    for _ in range(200):
+        texts = [np.array(rnd.choices(range(rnd.randint(1, 4)), k=rnd.randint(0, 40)), np.int64) for _ in range(rnd.randint(1, 3))]
+        block, body, least = factoring.Block(texts), np.array(rnd.choices(range(4), k=rnd.randint(0, 40)), np.int64), rnd.randint(1, 4)
+        held = {tuple(t[i:j].tolist()) for t in texts for i in range(len(t)) for j in range(i, len(t) + 1)}
+        want, missing, i = [], [], 0
+        while i + least <= len(body):
+            n = max(n for n in range(len(body) - i + 1) if n == 0 or tuple(body[i : i + n].tolist()) in held)
+            if n >= least:
+                want.append((i, n))
+            else:
+                missing.append(i)
+            i += n - least + 1 if n >= least else 1
+        factors, lacking = block.factors(body, least)
+        assert ([f[:2] for f in factors], lacking) == (want, missing)
+        assert all(any(t[at : at + n].tolist() == body[i : i + n].tolist() for t in texts) for i, n, at in factors)
+
+
+def thue_morse():
+    """Two different words of 1,024 letters that polynomials modulo a power of two do not tell apart."""
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_fool_polynomials(spark):
+    one, other = thue_morse()
+    rows = [(1, " ".join([one] * 13)), (2, " ".join([other] * 13))]
+    assert [(r.doc_id, r.n_removed) for r in substrings.dedup_substrings(frame(spark, rows)).orderBy("doc_id").collect()] == [(1, 0), (2, 0)]
+    assert [r.component_id for r in jaccard.near_duplicate_groups(frame(spark, rows)).orderBy("doc_id").collect()] == [1, 2]
+
+
 def test_substring_dedup_of_odd_texts(odd):
     assert substrings.dedup_substrings(odd).count() == odd.count()
     assert substrings.dedup_substrings(odd.limit(0)).count() == 0
 
 
-def test_long_texts_hash_like_their_parts(monkeypatch):
-    text = " ".join(f"w{k % 97}é" for k in range(5000)).encode()
-    whole, _ = hashing.word_hashes([text], True)
-    monkeypatch.setattr(hashing, "PIECE", 100)
-    assert (hashing.word_hashes([text], True)[0] == whole).all()
-    monkeypatch.setattr(exchange, "HASH_BYTES", 10)
-    runs = exchange.Runs([text, b"", b"a b", text], 3, True, True)
-    assert runs.counts.tolist() == [4998, 0, 1, 4998] and (runs.first[:4998] == runs.first[-4998:]).all()
+def test_words_and_runs(monkeypatch):
+    rnd = random.Random(12)
+    texts = ["", "  ", *(rnd.choice([" ", "\n\t", "  "]).join("".join(rnd.choices("abé", k=rnd.choice([1, 7, 8, 9, 16, 127, 128, 129, 400]))) for _ in range(rnd.randint(0, 12))) for _ in range(60)), "a b", "A B"]
+    texts = [t.encode() for t in texts]
+    words, split = hashing.Words(texts, True), [w.lower() for t in texts for w in t.split()]
+    assert words.counts.tolist() == [len(t.split()) for t in texts]
+    assert [words.raw[a:b] for a, b in zip(words.starts, words.ends, strict=True)] == split
+    for which in (0, 1):
+        assert len({(w, h) for w, h in zip(split, words.hashes(which).tolist(), strict=True)}) == len(set(split)) == len(set(words.hashes(which).tolist()))
+    a, b = (np.array(rnd.choices(range(len(split)), k=5000)) for _ in range(2))
+    assert words.equal(a, b).tolist() == [split[i] == split[j] for i, j in zip(a, b, strict=True)]
+    lexicon = hashing.Lexicon()
+    whole = [lexicon.numbers(t).tolist() for t in texts]
+    monkeypatch.setattr(hashing, "PIECE", 10)
+    assert [lexicon.numbers(t).tolist() for t in texts] == whole
+    runs = exchange.Runs([b"a b c d", b"", b"a b", b"a b c d"], 3, True, True)
+    assert runs.counts.tolist() == [2, 0, 1, 2] and runs.first.tolist() == [*runs.first[:3], *runs.first[:2]]
+    assert runs.equal(np.array([0, 0, 1, 2]), np.array([3, 4, 4, 0])).tolist() == [True, False, True, False]
 
 
 # 5 -----------------------------------------------------------------------------------------------------------------
@@ -466,8 +520,8 @@ def brute_groups(rows, n=5):
     return sorted(((i, len(s), None if i is None else find(i) if s else i) for (i, _), s in zip(rows, sets, strict=True)), key=str)
 
 
-@pytest.mark.parametrize("full_from", [64, 0])
-def test_jaccard_groups(spark, monkeypatch, full_from):
+@pytest.mark.parametrize(("full_from", "bits"), [(64, 64), (0, 64), (64, 6)])
+def test_jaccard_groups(spark, monkeypatch, full_from, bits):
     monkeypatch.setattr(jaccard, "_FULL_FROM", full_from)
     rnd = random.Random(10 + full_from)
     base = [" ".join(rnd.choices("abcdefgh", k=40)) for _ in range(4)]
@@ -477,7 +531,7 @@ def test_jaccard_groups(spark, monkeypatch, full_from):
         for _ in range(rnd.randint(0, 2)):
             w[rnd.randrange(len(w))] = rnd.choice("xyzABC")
         rows.append((rnd.choice([None, *range(-5, 140)]), None if rnd.random() < 0.03 else " ".join(w[: rnd.randint(0, 8)] if rnd.random() < 0.2 else w)))
-    got = jaccard.near_duplicate_groups(frame(spark, rows)).collect()
+    got = jaccard.near_duplicate_groups(frame(spark, rows), hash_bits=bits).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_groups(rows)
 
 
