@@ -24,12 +24,12 @@ def plan(docs: DataFrame, text: str) -> tuple[int, int, int]:
     """Number of chunks, of buckets and of partitions, in proportion to the text and no fewer than the shuffle partitions."""
     total = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     least = partitions(docs.sparkSession)
-    return max(4 * least, total // CHUNK_BYTES), max(least, total // BUCKET_BYTES), max(least, total // PARTITION_BYTES)
+    return max(2 * least, total // CHUNK_BYTES), max(least, total // BUCKET_BYTES), max(least, total // PARTITION_BYTES)
 
 
 def chunk_of(doc_id: str, text: str, chunks: int) -> Column:
     """Rows without an id, and rows that share one, are dealt out by their texts."""
-    return F.pmod(F.xxhash64(F.col(doc_id).cast("bigint"), F.col(text).cast("string")), F.lit(chunks)).cast("int")
+    return F.coalesce(F.pmod(F.xxhash64(F.col(doc_id).cast("bigint"), F.col(text).cast("string")), F.lit(chunks)).cast("int"), F.lit(0))
 
 
 def chunked(docs: DataFrame, doc_id: str, text: str, chunks: int, parts: int) -> DataFrame:

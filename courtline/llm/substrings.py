@@ -30,13 +30,15 @@ _LAST = np.iinfo(np.int64).max
 _KEY = 6
 
 _I, _L, _B = pa.int32(), pa.int64(), pa.binary()
-_ASKED = pa.schema({"chunk": _I, "bucket": _I, "hashes": _B, "docs": _B, "counts": _B})
-_ANSWERED = pa.schema({"chunk": _I, "bucket": _I, "found": _B, "sources": _B, "homes": _B, "times": _B})
+#: Keys are never null, so that no plan adds a filter below an exchange that another plan uses too.
+_CHUNK, _BUCKET = pa.field("chunk", _I, False), pa.field("bucket", _I, False)
+_ASKED = pa.schema([_CHUNK, _BUCKET, ("hashes", _B), ("docs", _B), ("counts", _B)])
+_ANSWERED = pa.schema([_CHUNK, _BUCKET, ("found", _B), ("sources", _B), ("homes", _B), ("times", _B)])
 _STRETCHES = pa.schema({"home": _I, "chunk": _I, "sources": pa.list_(_L), "bodies": pa.list_(_B), "uses": pa.list_(_B)})
-_FOUND = pa.schema({"chunk": _I, "rows": _B, "starts": _B, "words": _B, "sources": _B, "ats": _B})
+_FOUND = pa.schema([_CHUNK, *{"rows": _B, "starts": _B, "words": _B, "sources": _B, "ats": _B}.items()])
 _FACTORED = _FOUND.append(pa.field("missing", pa.list_(pa.struct({"row": _I, "start": _I, "words": _B}))))
-_MISSING = pa.schema({"bucket": _I, "key": _L, "chunk": _I, "row": _I, "start": _I, "words": _B})
-_HELD = pa.schema({"chunk": _I, "keys": _B})
+_MISSING = pa.schema([_BUCKET, ("key", _L), _CHUNK, ("row", _I), ("start", _I), ("words", _B)])
+_HELD = pa.schema([_CHUNK, ("keys", _B)])
 _SPELLED = pa.schema({"words": _B, "doc": _L})
 _FACTORS = pa.list_(pa.struct({"start": _I, "words": _I, "source": _L, "source_start": _I}))
 _OUT = pa.schema({"doc": _L, "n_words": _L, "n_removed": _L, "kept_text": pa.string(), "factors": _FACTORS})
@@ -188,6 +190,8 @@ def _missing(seed: int, buckets: int, bits: int):
 
 def _holders(key: tuple, asked: pa.Table, missing: pa.Table) -> pa.Table:
     """The chunks that have the hash of a missing seed."""
+    if not missing.num_rows or not asked.num_rows:
+        return _rows(_HELD, [])
     wanted, rows = np.unique(missing.column("key").to_numpy().astype(np.uint64)), []
     for chunk, hashes in zip(asked.column("chunk").to_pylist(), asked.column("hashes").to_pylist(), strict=True):
         if len(own := np.intersect1d(wanted, unshort(hashes, _KEY))):
@@ -259,10 +263,10 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     answered = asked.groupBy("bucket").applyInArrow(_answer, spark_schema(_ANSWERED))
     stretches = rows.cogroup(answered.groupBy("chunk")).applyInArrow(_stretches(seed, buckets, hash_bits), spark_schema(_STRETCHES))
     factored = rows.cogroup(stretches.groupBy("home")).applyInArrow(_factor(seed, hash_bits), spark_schema(_FACTORED)).repartition(parts, "chunk")
-    # collisions: none of these tables has a row unless two different seeds have one hash
+    # collisions: none of these tables has a row unless two different seeds have one hash. Joins would shuffle what is shuffled already
     missing = factored.mapInArrow(_missing(seed, buckets, hash_bits), spark_schema(_MISSING))
-    holders = asked.join(missing.select("bucket").distinct(), "bucket", "left_semi").groupBy("bucket").cogroup(missing.groupBy("bucket")).applyInArrow(_holders, spark_schema(_HELD))
-    spelled = table.join(holders.select("chunk").distinct(), "chunk", "left_semi").groupBy("chunk").cogroup(holders.groupBy("chunk")).applyInArrow(_spelled(seed, hash_bits), spark_schema(_SPELLED))
+    holders = asked.groupBy("bucket").cogroup(missing.groupBy("bucket")).applyInArrow(_holders, spark_schema(_HELD))
+    spelled = rows.cogroup(holders.groupBy("chunk")).applyInArrow(_spelled(seed, hash_bits), spark_schema(_SPELLED))
     earliest = spelled.groupBy("words").agg(F.min("doc").alias("source"))
     solved = missing.join(earliest, "words").select("chunk", "row", "start", "source")
     found = factored.drop("missing").unionByName(_as_found(solved, seed))
