@@ -269,7 +269,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     spelled = rows.cogroup(holders.groupBy("chunk")).applyInArrow(_spelled(seed, hash_bits), spark_schema(_SPELLED))
     earliest = spelled.groupBy("words").agg(F.min("doc").alias("source"))
     solved = missing.join(earliest, "words").select("chunk", "row", "start", "source")
-    found = factored.drop("missing").unionByName(_as_found(solved, seed))
+    found = factored.unionByName(_as_found(solved, seed), allowMissingColumns=True)  # all columns, as `missing` reads them: one exchange
     made = rows.cogroup(found.groupBy("chunk")).applyInArrow(_finish(seed), spark_schema(_OUT))
     return made.select(F.col("doc").alias(doc_id), "n_words", "n_removed", "kept_text", "factors")
 
