@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from courtline.llm.batches import binary_lists, map_texts, slices
 
-#: Labelled rows used at most, neighbours, queries that are multiplied with the common terms at once, texts kept in a memo.
-MAX_LABELLED, NEIGHBOURS, QUERIES, MEMO = 12_000, 16, 64, 4_000
-#: A term in one of so many rows, and in so many rows, stands in the dense part of the index.
-COMMON_SHARE, COMMON_ROWS = 12, 64
+#: Labelled rows used at most, neighbours, queries that are searched for at once, texts and words kept in memos.
+MAX_LABELLED, NEIGHBOURS, QUERIES, MEMO, KNOWN = 12_000, 16, 64, 4_000, 400_000
+#: A term in one of so many rows, and in so many rows, is common: it stands in the dense part of the index.
+COMMON_SHARE, COMMON_ROWS = 16, 64
+#: Rows of a block, groups of like rows that blocks are cut from, and blocks that are looked at first.
+BLOCK, GROUPS, FIRST = 64, 48, 6
 PREFIX = 4
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 32 if b < 0x30 or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
 
@@ -32,26 +34,31 @@ def prefix_term(word: bytes) -> bytes:
     return b"^" + word.decode("utf-8", "replace")[:PREFIX].encode()
 
 
-class Vocabulary:
-    """Numbers of the terms, words and prefixes alike."""
+class Vocabulary(dict):
+    """Numbers of the terms, words and prefixes alike. As a dict: place of each word met in `pairs`, its two terms (-1: none)."""
 
     def __init__(self, terms: dict[bytes, int]) -> None:
-        self.terms = terms
-        #: first bytes of the prefix terms: most words differ there already
-        self.heads = {t[1 : PREFIX + 1] for t in terms if t.startswith(b"^")}
-
-    def counts(self, raw: bytes | None) -> dict[int, int]:
-        """Counts of the known terms of a text."""
-        return self.of_words(Counter(words_of(raw)))
-
-    def of_words(self, known: dict[bytes, int]) -> dict[int, int]:
-        terms = self.terms
-        out = {terms[w]: known[w] for w in known.keys() & terms.keys()}
-        heads = self.heads
-        for word in [w for w in known if w[:PREFIX] in heads]:
-            if len(word) > PREFIX and (t := terms.get(prefix_term(word))) is not None:
-                out[t] = out.get(t, 0) + known[word]
-        return out
+        super().__init__()
+        self.terms, self.pairs = terms, np.empty((1024, 2), np.int32)
+
+    def __reduce__(self):
+        return Vocabulary, (self.terms,)
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        if n == len(self.pairs):
+            self.pairs = np.concatenate((self.pairs, np.empty_like(self.pairs)))
+        self.pairs[n] = self.terms.get(word, -1), self.terms.get(prefix_term(word), -1) if len(word) > PREFIX else -1
+        return n
+
+    def counts(self, raw: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        """The known terms of a text in order, and their counts."""
+        if len(self) > KNOWN:
+            self.clear()
+        words = words_of(raw)
+        at = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        own = self.pairs[at]
+        return np.unique(own[own >= 0], return_counts=True)
 
 
 def _pair(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,6 +66,19 @@ def _pair(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(order, np.int32), np.array([counts[t] for t in order], np.int32)
 
 
+def _groups(rows: np.ndarray, rounds: int = 4) -> np.ndarray:
+    """The group of each row: nearest of GROUPS centres by the dot product, from evenly spaced rows on."""
+    unit = rows / np.maximum(np.sqrt((rows * rows).sum(1, keepdims=True)), 1e-9)
+    centres = unit[np.linspace(0, len(unit) - 1, min(GROUPS, len(unit))).astype(int)]
+    for _ in range(rounds):
+        group = (unit @ centres.T).argmax(1)
+        for g in range(len(centres)):
+            if (own := group == g).any():
+                mean = unit[own].mean(0)
+                centres[g] = mean / max(float(np.sqrt(mean @ mean)), 1e-9)
+    return group
+
+
 def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """All numbers of the ranges that begin there and have that many."""
     ends = np.cumsum(size)
@@ -66,7 +86,12 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Unit vectors of the labelled rows by all of their terms: a dense matrix of the common terms, postings of the others."""
+    """Block-max inverted index of the unit vectors of the labelled rows, by all of their terms.
+
+    Like rows stand in one block. Postings of rare terms are added up; the weights of common terms are a dense matrix, of which
+    each block keeps the maximum of every term. A block whose bound (its best sum of rare terms, and its maxima times the
+    query) is under the k-th best score is skipped.
+    """
 
     def __init__(self, terms: dict[bytes, int], idf: np.ndarray, rows: list[tuple[int, int, dict[int, int] | tuple[np.ndarray, np.ndarray]]]) -> None:
         """rows: (id, label, {term number: count}, or the numbers in order and the counts); those without a term are only counted."""
@@ -98,8 +123,9 @@ class Index:
         return list(zip(term.tolist(), (raw / norm).tolist(), strict=True))
 
     @cached_property
-    def search(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Column of each term in the dense part (-1: none), the dense part, and where postings begin, their rows and weights."""
+    def search(self) -> tuple[np.ndarray, ...]:
+        """Column of each term in the dense part (-1: none), the dense part and its maxima by block, where postings begin, their
+        rows and weights, and the row that stands in each place: places are dealt to groups of like rows, the last block is filled up."""
         n, freq = len(self.ids), np.bincount(self.term, minlength=len(self.idf))
         common = np.flatnonzero((freq * COMMON_SHARE >= n) & (freq >= COMMON_ROWS))
         column = np.full(len(self.idf), -1, np.int32)
@@ -109,10 +135,14 @@ class Index:
         at = column[self.term]
         dense = np.zeros((n, len(common)), np.float32)
         dense[row[at >= 0], at[at >= 0]] = weight[at >= 0]
+        order = np.argsort(_groups(dense), kind="stable")
+        place = np.empty(n, np.int32)
+        place[order] = np.arange(n)
+        dense = np.concatenate((dense[order], np.zeros((-n % BLOCK, len(common)), np.float32)))
         rare = np.flatnonzero(at < 0)
         rare = rare[np.argsort(self.term[rare], kind="stable")]
         freq[common] = 0
-        return column, dense, np.concatenate(([0], np.cumsum(freq))), row[rare], weight[rare]
+        return column, dense, dense.reshape(len(dense) // BLOCK, BLOCK, len(common)).max(1), np.concatenate(([0], np.cumsum(freq))), place[row[rare]], weight[rare], order
 
     def nearest(self, counts: dict[int, int], k: int = NEIGHBOURS) -> list[tuple[float, int, float]]:
         return self.nearest_of([_pair(counts)], k)[0]
@@ -120,43 +150,75 @@ class Index:
     def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, leave: list[int] | None = None) -> list[list[tuple[float, int, float]]]:
         """The exact k rows of highest cosine of each query, as (cosine, id, label); ties by id. `leave`: row numbers that don't count.
 
-        All rows are scored in single precision, and those that may be among the k by its error bound are scored again in
-        double precision. Rows of cosine 0 are no neighbours.
+        The rows of blocks that may hold one of the k are scored in single precision, and those that may be among the k by its
+        error bound are scored again in double precision. Rows of cosine 0 are no neighbours.
         """
         if not len(self.ids):
             return [[] for _ in queries]
-        column, dense, begin, rows, weights = self.search
-        out, n, whole = [], len(self.ids), np.zeros(len(self.idf))
-        for lo in range(0, len(queries), QUERIES):
-            units = []
-            block = np.zeros((len(queries[lo : lo + QUERIES]), dense.shape[1]), np.float32)
-            for j, (term, count) in enumerate(queries[lo : lo + QUERIES]):
-                raw = self._raw(term, count)
-                units.append(raw / (math.sqrt(float(raw @ raw)) or 1.0))
-                in_dense = column[term] >= 0
-                block[j, column[term[in_dense]]] = units[-1][in_dense]
-            scores = block @ dense.T
-            for j, (term, _) in enumerate(queries[lo : lo + QUERIES]):
-                rare = column[term] < 0
-                first, size = begin[term[rare]], begin[term[rare] + 1] - begin[term[rare]]
-                where = _ranges(first, size)
-                score = scores[j] + np.bincount(rows[where], np.repeat(units[j][rare], size) * weights[where], minlength=n)
-                if leave is not None:
-                    score[leave[lo + j]] = 0
-                # all summands are positive: the relative error is at most the number of terms times that of one operation
-                least = np.partition(score, n - k)[n - k] * (1 - 2.4e-7 * (len(term) + 8)) - 2e-9 if n > k else 0.0
-                near = np.flatnonzero((score >= least) & (score > 0))
-                whole[term] = units[j]
-                where = _ranges(self.begin[near], self.size[near])
-                own = np.repeat(np.arange(len(near)), self.size[near])
-                hit = np.flatnonzero(whole[self.term[where]])
-                where, own = where[hit], own[hit]
-                exact = np.bincount(own, whole[self.term[where]] * self._raw(self.term[where], self.count[where]) / self.norm[near[own]], minlength=len(near))
+        column, most = self.search[0], self.search[2]
+        units = [raw / (math.sqrt(float(raw @ raw)) or 1.0) for raw in (self._raw(*q) for q in queries)]
+        asked = np.zeros((len(queries), most.shape[1]), np.float32)
+        for j, ((term, _), unit) in enumerate(zip(queries, units, strict=True)):
+            at = column[term]
+            asked[j, at[at >= 0]] = unit[at >= 0]
+        bound, whole = asked @ most.T, np.zeros(len(self.idf))
+        place = np.argsort(self.search[-1])[leave] if leave is not None else None
+        out: list[list[tuple[float, int, float]]] = [[] for _ in queries]
+        like = np.argsort(bound.argmax(1), kind="stable")  # queries that want the same blocks go together
+        for own in np.split(like, range(QUERIES, len(like), QUERIES)):
+            scores, least = self._scores([queries[i][0] for i in own], [units[i] for i in own], asked[own], bound[own], k, None if leave is None else place[own])
+            for i, score, floor in zip(own.tolist(), scores, least.tolist(), strict=True):
+                term = queries[i][0]
+                whole[term] = units[i]
+                out[i] = self._exact(whole, len(term), score, floor, k)
                 whole[term] = 0
-                found = [(round(float(s), 9), int(self.ids[r]), float(self.labels[r])) for s, r in zip(exact, near, strict=True)]
-                out.append(sorted(found, key=lambda x: (-x[0], x[1]))[:k])
         return out
 
+    def _scores(self, terms: list[np.ndarray], units: list[np.ndarray], asked: np.ndarray, bound: np.ndarray, k: int, leave: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines by place (those of skipped blocks are 0), and a bound of the k-th best of each query."""
+        column, dense, most, begin, places, weights, _ = self.search
+        n, n_blocks, every = len(dense), len(most), np.arange(len(terms))
+        rare = np.zeros((len(terms), n), np.float32)
+        for j, (term, unit) in enumerate(zip(terms, units, strict=True)):
+            at = column[term]
+            first, last = begin[term[at < 0]], begin[term[at < 0] + 1]
+            lists = list(zip(first.tolist(), last.tolist(), strict=True))
+            if lists:
+                weight = np.concatenate([weights[a:b] for a, b in lists]) * np.repeat(unit[at < 0].astype(np.float32), last - first)
+                rare[j] = np.bincount(np.concatenate([places[a:b] for a, b in lists]), weight, minlength=n)
+        bound = (bound + rare.reshape(len(terms), n_blocks, BLOCK).max(2)) * (1 + 1e-4) + 1e-7
+        scores = np.zeros_like(rare)
+
+        def look(wanted: np.ndarray) -> None:
+            edges = np.flatnonzero(np.diff(np.concatenate(([False], wanted, [False])).astype(np.int8))) * BLOCK
+            for lo, hi in edges.reshape(-1, 2).tolist():
+                scores[:, lo:hi] = asked @ dense[lo:hi].T + rare[:, lo:hi]
+            if leave is not None:
+                scores[every, leave] = 0
+
+        top = np.argpartition(-bound, min(FIRST, n_blocks) - 1, axis=1)[:, :FIRST]
+        first = np.zeros(n_blocks, bool)
+        first[top] = True
+        look(first)
+        seen = np.take_along_axis(scores.reshape(len(terms), n_blocks, BLOCK), top[:, :, None], 1).reshape(len(terms), -1)
+        least = (np.partition(seen, -k, axis=1)[:, -k] if seen.shape[1] >= k else np.zeros(len(terms))) * (1 - 1e-4)
+        look((bound >= least[:, None]).any(0) & ~first)
+        return scores, least
+
+    def _exact(self, whole: np.ndarray, n_terms: int, score: np.ndarray, floor: float, k: int) -> list[tuple[float, int, float]]:
+        near = np.flatnonzero(score >= floor if floor > 0 else score > 0)
+        if len(near) > k:
+            # all summands are positive: the relative error is at most the number of terms times that of one operation
+            near = near[score[near] >= np.partition(score[near], -k)[-k] * (1 - 2.4e-7 * (n_terms + 8)) - 2e-9]
+        near = np.sort(self.search[-1][near])
+        where = _ranges(self.begin[near], self.size[near])
+        own = np.repeat(np.arange(len(near)), self.size[near])
+        hit = np.flatnonzero(whole[self.term[where]])
+        where, own = where[hit], own[hit]
+        exact = np.bincount(own, whole[self.term[where]] * self._raw(self.term[where], self.count[where]) / self.norm[near[own]], minlength=len(near))
+        found = [(round(float(s), 9), int(self.ids[r]), float(self.labels[r])) for s, r in zip(exact, near, strict=True)]
+        return sorted(found, key=lambda x: (-x[0], x[1]))[:k]
+
     def vote(self, found: list[tuple[float, int, float]]) -> float:
         """Labels weighted by nearness, 1 / (distance + 0.1), with one neutral vote at the base rate."""
         weights = [s / (1 - s + 0.1) for s, _, _ in found]
@@ -190,9 +252,9 @@ class Index:
             memo.clear()
         todo = {k: t for k, t in zip(keys, texts, strict=True) if k not in memo}
         counts = {k: self.words.counts(t) for k, t in todo.items()}
-        some = [k for k, c in counts.items() if c]
+        some = [k for k, c in counts.items() if len(c[0])]
         done = dict.fromkeys(counts, ((self.rate if self.empty_rate is None else self.empty_rate), []))
-        for k, found in zip(some, self.nearest_of([_pair(counts[k]) for k in some]), strict=True):
+        for k, found in zip(some, self.nearest_of([counts[k] for k in some]), strict=True):
             at = odds[0] + odds[1] * (self.vote(found) - 0.5)
             done[k] = 1 / (1 + math.exp(-max(-30.0, min(30.0, at)))), found
         memo.update(done)
@@ -240,8 +302,7 @@ def _document_frequencies(docs: DataFrame, text: str, terms: dict[bytes, int]) -
                 for raw in binary_lists(part.column("t")):
                     if raw:
                         n += 1
-                        own = words.value.counts(raw)
-                        have[np.fromiter(own, np.int64, len(own))] += 1
+                        have[words.value.counts(raw)[0]] += 1
         some = np.flatnonzero(have)
         yield pa.RecordBatch.from_pydict({"term": pa.array(np.append(some, -1), pa.int32()), "n": pa.array(np.append(have[some], n), pa.int64())})
 

@@ -130,7 +130,7 @@ def test_dense_part_and_postings_score_alike():
     terms, weights = {str(k).encode(): k for k in range(300)}, np.array([1 + rnd.random() for _ in range(300)])
     rows = [(i, i % 2, {int(300 * rnd.random() ** 3): rnd.randint(1, 3) for _ in range(rnd.randint(1, 30))}) for i in range(700)]
     index = toxicity.Index(terms, weights, rows)
-    assert 0 < index.search[1].shape[1] < 300
+    assert 0 < index.search[1].shape[1] < 300 and len(index.search[2]) > toxicity.FIRST
     for i, _, c in rows[:40]:
         qv = dict(index.vector(c))
         want = sorted(((round(s, 9), j) for j, _, o in rows if j != i and (s := sum(w * qv.get(t, 0) for t, w in index.vector(o))) > 0), key=lambda x: (-x[0], x[1]))[:16]
