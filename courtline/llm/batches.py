@@ -65,7 +65,9 @@ def map_texts(
             for part in slices(batch, source):
                 made = step(binary_lists(part.column(source)), part)
                 columns = [part.column(c).cast(arrow.field(c).type) for c in kept]
-                columns += [pa.array(made[f.name], type=arrow.field(f.name).type, from_pandas=False) for f in out.fields]
+                for f in out.fields:
+                    value, kind = made[f.name], arrow.field(f.name).type
+                    columns.append(value.cast(kind) if isinstance(value, pa.Array) else pa.array(value, type=kind, from_pandas=False))
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return df.select(*[F.col(f"`{c}`") for c in (*kept, *also)], F.col(f"`{text}`").cast("string").alias(source)).mapInArrow(run, schema)
@@ -75,6 +77,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="courtline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -7,6 +7,7 @@ import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cached_property
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from courtline.llm.batches import binary_lists, map_texts, slices
 
-#: Labelled rows used at most, neighbours, queries that are searched for at once, texts and words kept in memos.
-MAX_LABELLED, NEIGHBOURS, QUERIES, MEMO, KNOWN = 12_000, 16, 64, 4_000, 400_000
+#: Labelled rows used at most, neighbours, queries that are searched for at once, texts kept in a memo.
+MAX_LABELLED, NEIGHBOURS, QUERIES, MEMO = 12_000, 16, 64, 4_000
 #: A term in one of so many rows, and in so many rows, is common: it stands in the dense part of the index.
 COMMON_SHARE, COMMON_ROWS = 16, 64
 #: Rows of a block, groups of like rows that blocks are cut from, and blocks that are looked at first.
@@ -34,31 +35,30 @@ def prefix_term(word: bytes) -> bytes:
     return b"^" + word.decode("utf-8", "replace")[:PREFIX].encode()
 
 
-class Vocabulary(dict):
-    """Numbers of the terms, words and prefixes alike. As a dict: place of each word met in `pairs`, its two terms (-1: none)."""
+class Vocabulary:
+    """Numbers of the terms, words and prefixes alike."""
 
     def __init__(self, terms: dict[bytes, int]) -> None:
-        super().__init__()
-        self.terms, self.pairs = terms, np.empty((1024, 2), np.int32)
+        self.terms = terms
 
-    def __reduce__(self):
-        return Vocabulary, (self.terms,)
+    def __getstate__(self) -> dict:
+        return {"terms": self.terms}  # each worker makes its own tables
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        if n == len(self.pairs):
-            self.pairs = np.concatenate((self.pairs, np.empty_like(self.pairs)))
-        self.pairs[n] = self.terms.get(word, -1), self.terms.get(prefix_term(word), -1) if len(word) > PREFIX else -1
-        return n
+    @cached_property
+    def tables(self) -> tuple[dict[bytes, int], np.ndarray, dict[bytes, int]]:
+        """Place of each word that is a term, its two terms by place (-1: no prefix), and the prefix terms by their bytes."""
+        heads = {t[1:]: n for t, n in self.terms.items() if t.startswith(b"^")}
+        words = [w for w in self.terms if not w.startswith(b"^")]
+        return {w: k for k, w in enumerate(words)}, np.array([(self.terms[w], heads.get(prefix_term(w)[1:], -1) if len(w) > PREFIX else -1) for w in words], np.int32).reshape(-1, 2), heads
 
     def counts(self, raw: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         """The known terms of a text in order, and their counts."""
-        if len(self) > KNOWN:
-            self.clear()
+        places, pairs, heads = self.tables
         words = words_of(raw)
-        at = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-        own = self.pairs[at]
-        return np.unique(own[own >= 0], return_counts=True)
+        at = np.fromiter(map(places.get, words, repeat(-1)), np.int32, len(words))
+        other = [w[:PREFIX] if w[:PREFIX].isascii() else prefix_term(w)[1:] for w in compress(words, at < 0) if len(w) > PREFIX]
+        every = np.concatenate((pairs[at[at >= 0]].ravel(), np.fromiter(map(heads.get, other, repeat(-1)), np.int32, len(other))))
+        return np.unique(every[every >= 0], return_counts=True)
 
 
 def _pair(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +153,7 @@ class Index:
         The rows of blocks that may hold one of the k are scored in single precision, and those that may be among the k by its
         error bound are scored again in double precision. Rows of cosine 0 are no neighbours.
         """
-        if not len(self.ids):
+        if not queries or not len(self.ids):
             return [[] for _ in queries]
         column, most = self.search[0], self.search[2]
         units = [raw / (math.sqrt(float(raw @ raw)) or 1.0) for raw in (self._raw(*q) for q in queries)]
@@ -368,7 +368,11 @@ def score_toxicity(docs: DataFrame, train: DataFrame, labels: DataFrame, doc_id:
 
         def step(texts, _):
             rows = model.value.score(texts, odds, memo)
-            return {"score": [r[0] for r in rows], "evidence": [[{"doc_id": i, "cosine": s, "label": int(y)} for s, i, y in r[1]] for r in rows]}
+            found = [x for r in rows for x in r[1]]
+            columns = (pa.array([x[1] for x in found], pa.int64()), pa.array([x[0] for x in found], pa.float64()), pa.array([int(x[2]) for x in found], pa.int32()))
+            ends = np.cumsum([0, *(len(r[1]) for r in rows)])
+            evidence = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["doc_id", "cosine", "label"]))
+            return {"score": [r[0] for r in rows], "evidence": evidence}
 
         return step
 
