@@ -86,3 +86,35 @@ def attempt_confidence(speed: Column, up: Column, near: Column, ball: Column, ho
     """Speed counts three tenths, the signs (up, near, ball, hoop) the rest."""
     signs = 0.3 * up.cast("int") + 0.3 * near.cast("int") + 0.2 * ball + 0.2 * hoop
     return F.round(0.3 * F.least(speed / 0.08, F.lit(1.0)) + 0.7 * signs, 3)
+
+
+def centre_detection(x1: Column, y1: Column, x2: Column, y2: Column, width: float, height: float) -> dict[str, Column]:
+    """Centre and size of a pixel box in parts of the picture, not clamped."""
+    return {"x": (x1 + x2) / 2 / width, "y": (y1 + y2) / 2 / height, "w": (x2 - x1) / width, "h": (y2 - y1) / height}
+
+
+def region_in_parent(inner: tuple[Column, ...], parent: tuple[Column, ...]) -> tuple[Column, ...]:
+    """A top-left region (x, y, w, h) in parts of its parent's."""
+    (x, y, w, h), (px, py, pw, ph) = inner, parent
+    return (x - px) / pw, (y - py) / ph, w / pw, h / ph
+
+
+def crop_bounds(x: Column, y: Column, w: Column, h: Column, width: int, height: int) -> tuple[Column, ...]:
+    """Pixel bounds of a region, cut towards zero and clamped to the picture."""
+    return tuple(F.greatest(F.lit(0), F.least(F.lit(size), (v * size).cast("int"))) for v, size in ((x, width), (y, height), (x + w, width), (y + h, height)))
+
+
+def pixel_box(x: Column, y: Column, w: Column, h: Column, width: int, height: int) -> tuple[Column, ...]:
+    """Pixel bounds of a region, rounded, halves to even."""
+    return tuple(F.bround(v * size).cast("int") for v, size in ((x, width), (y, height), (x + w, width), (y + h, height)))
+
+
+def roi_pixels(x: Column, y: Column, w: Column, h: Column, width: int, height: int) -> tuple[Column, ...]:
+    """Pixel corners of a centre box, cut towards zero."""
+    return tuple((v * size).cast("int") for v, size in ((x - w / 2, width), (y - h / 2, height), (x + w / 2, width), (y + h / 2, height)))
+
+
+def segment_points(xa: Column, ya: Column, xb: Column, yb: Column, steps: int = 24) -> Column:
+    """Array of evenly spaced points (x, y) of a segment, both ends included."""
+    parts = F.array(*[F.lit(k / (steps - 1)) for k in range(steps)])
+    return F.transform(parts, lambda t: F.struct(((1 - t) * xa + t * xb).alias("x"), ((1 - t) * ya + t * yb).alias("y")))

@@ -88,3 +88,9 @@ def content_extension(content_type: Column) -> Column:
     for k, v in known.items():
         out = out.when(kind == k, v)
     return out.when(kind.startswith("video/"), ".mp4")
+
+
+def keypoint_order(text: Column) -> Column:
+    """Four comma-separated indices, a permutation of 0 to 3, as an array; null for null, empty and `auto`, and for anything else."""
+    parts = F.transform(F.split(text, ","), lambda p: F.trim(p).try_cast("int"))
+    return F.when(F.array_sort(parts) == F.array(*[F.lit(k) for k in range(4)]), parts)

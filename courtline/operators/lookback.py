@@ -103,3 +103,13 @@ def name_clusters(distances: DataFrame) -> DataFrame:
     return distances.groupBy("group_id").applyInPandas(run, "group_id bigint, cluster bigint, name string")
 
 
+
+
+def approaching(y: Column, deepest: Column, threshold: float, valid: Column, depth: float = 0.08, least_below: float = 0.012, rise: float = 0.005) -> Column:
+    """A ball just under the rim that has risen from a point deep enough below it; false where nothing was below."""
+    return F.coalesce(valid & (y > threshold) & (y <= threshold + depth) & (deepest >= threshold + least_below) & (y <= deepest - rise), F.lit(False))
+
+
+def near_hoop(x: Column, y: Column, hoop: float, width: float, threshold: float, relaxed: Column, expand: float = 1.5, depth: float = 0.03, relaxed_depth: float = 0.08) -> Column:
+    """Within the hoop's widened half width, and no deeper under the rim than the signal allows."""
+    return (F.abs(x - hoop) <= width / 2 * expand) & (y <= threshold + F.when(relaxed, relaxed_depth).otherwise(depth))

@@ -59,6 +59,12 @@ def prototypes(vectors: DataFrame, label: str, vector: str) -> DataFrame:
     return parts.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("prototype"))
 
 
+def unit_prototypes(vectors: DataFrame, label: str, vector: str, eps: float = 1e-8) -> DataFrame:
+    """prototypes() of length one; lengths under `eps` count as `eps`."""
+    size = F.sqrt(F.aggregate("prototype", F.lit(0.0), lambda s, x: s + x * x))
+    return prototypes(vectors, label, vector).withColumn("prototype", F.transform("prototype", lambda x: x / F.greatest(size, F.lit(eps))))
+
+
 def cosine(a, b):
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))

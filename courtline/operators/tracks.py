@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,3 +91,43 @@ def rim_signals(points: DataFrame, threshold: float, depth: float = 0.03) -> Dat
     up = valid & (y <= threshold) & (y <= F.greatest("deepest", F.lit(threshold)) - 0.005) & F.col("deepest").isNotNull()
     signal = F.when(down, "crossed_down").when(up, "crossed_up").when(tube & (F.col("was_outside") == 1), "rim_tube")
     return out.withColumn("signal", signal)
+
+
+def running_ema(points: DataFrame, columns: tuple[str, ...], alpha: float) -> DataFrame:
+    """Every row with the exponential moving average of its track up to it, as ema_<column>; the first row stays as it is.
+
+    alpha >= 1 leaves the values, alpha <= 0 holds the first. A track is cut into stretches over which the weights stay
+    within a double's range; a stretch is a running sum of weighted values, and what came before enters by the ends of
+    the two stretches before it (older ones weigh under 1e-80). So no track is gathered in a row.
+    """
+    if alpha >= 1:
+        return points.withColumns({f"ema_{c}": F.col(c) for c in columns})
+    if alpha <= 0:
+        return points.withColumns({f"ema_{c}": F.first(c).over(by_time()) for c in columns})
+    keep = 1 - alpha
+    length = max(8, math.ceil(-92 / math.log(keep)))
+    rows = points.withColumn("__n", F.row_number().over(by_time()) - 1)
+    rows = rows.withColumns({"__part": F.floor(F.col("__n") / length), "__at": (F.col("__n") % length).cast("double")})
+    within = Window.partitionBy("track_id", "__part").orderBy("__at")
+    weight = F.when(F.col("__n") == 0, 1.0).otherwise(alpha)
+    rows = rows.withColumns({f"ema_{c}": F.sum(weight * F.col(c) * F.pow(F.lit(keep), -F.col("__at"))).over(within) * F.pow(F.lit(keep), F.col("__at")) for c in columns})
+    across = Window.partitionBy("track_id").orderBy("__part")
+    ends = rows.groupBy("track_id", "__part").agg(*[F.max_by(f"ema_{c}", "__at").alias(f"__end_{c}") for c in columns])
+    before = {f"__end_{c}": F.coalesce(F.lag(f"__end_{c}").over(across), F.lit(0.0)) + keep**length * F.coalesce(F.lag(f"__end_{c}", 2).over(across), F.lit(0.0)) for c in columns}
+    rows = rows.join(ends.withColumns(before), ["track_id", "__part"])
+    rows = rows.withColumns({f"ema_{c}": F.col(f"ema_{c}") + F.pow(F.lit(keep), F.col("__at") + 1) * F.col(f"__end_{c}") for c in columns})
+    return rows.drop("__n", "__part", "__at", *[f"__end_{c}" for c in columns])
+
+
+def sampled(points: DataFrame, every: int, fps: float, start: float = 0.0, end: float | None = None) -> DataFrame:
+    """Every `every`-th frame from the seek origin `start` (seconds) on, with its time from the start of the video, up to the last at or before `end`."""
+    origin = math.ceil(start * fps)
+    rows = points.where((F.col("frame") >= origin) & ((F.col("frame") - origin) % every == 0)).withColumn("at", start + (F.col("frame") - origin) / fps)
+    return rows if end is None else rows.where(F.col("at") <= end)
+
+
+def last_stride(points: DataFrame, least: float = 0.05) -> DataFrame:
+    """The last step of each track whose squared length is over `least`, as (track_id, frame, x0, y0, x1, y1)."""
+    rows = points.withColumns({"x0": F.lag("px").over(by_time()), "y0": F.lag("py").over(by_time())})
+    rows = rows.where((F.col("px") - F.col("x0")) ** 2 + (F.col("py") - F.col("y0")) ** 2 > least)
+    return rows.groupBy("track_id").agg(F.max_by(F.struct("frame", "x0", "y0", F.col("px").alias("x1"), F.col("py").alias("y1")), F.struct("t", "frame")).alias("s")).select("track_id", "s.*")

@@ -224,8 +224,8 @@ def gated_ball(spark, d):
 
 
 def _event_stream(spark, d):
-    path = f"{d.rstrip('/')}/events.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
+    schema = read(spark, d, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
 
 
 @query(f"WITH e AS (SELECT track_id, list_reduce(list(px ORDER BY t, frame), lambda a, x: 0.3::double * x + 0.7::double * a) AS ema FROM trk GROUP BY track_id) SELECT track_id, {_micro('ema')} AS ema FROM e")
