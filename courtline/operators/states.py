@@ -52,32 +52,46 @@ class QuadSmoother:
 
 @dataclass
 class ActiveHoop:
-    """The hoop in play: what is detected, unless it jumps on its own side; else the last good hoop of the ball's side for
-    up to `hold` frames (0: for good); else the known hoop nearest to the ball."""
+    """The hoop in play: what is detected, unless it jumps on its own side of the midline; else, for a ball that is seen, the last good
+    hoop of the ball's side, if ball and hoop belong to one court hoop, for up to `hold` frames a side (0: for good); else the
+    court hoop nearest to the ball, or the one before without a ball."""
 
     court: list[float]
     jump: float = 0.15
     hold: int = 0
-    last: dict[int, float] = field(default_factory=dict)
-    held: int = 0
+    apart: float = 0.20
+    anchors: dict[bool, float] = field(default_factory=dict)
+    held: dict[bool, int] = field(default_factory=dict)
     index: int = 0
 
-    def _side(self, x: float) -> int:
+    def _nearest(self, x: float) -> int:
         return min(range(len(self.court)), key=lambda k: abs(self.court[k] - x))
 
+    def _right(self, x: float) -> bool:
+        return x >= (self.court[0] + self.court[-1]) / 2
+
+    def _kept(self, ball: float) -> float | None:
+        side = self._right(ball)
+        anchor = self.anchors.get(side)
+        if anchor is None:
+            return None
+        if not (self._nearest(ball) == self._nearest(anchor) if len(self.court) > 1 else abs(ball - anchor) <= self.apart):
+            return None
+        used = self.held.get(side, 0)
+        goes_on = self.hold <= 0 or used < self.hold
+        self.held[side] = used + 1 if goes_on else 0
+        return anchor if goes_on else None
+
     def step(self, ball: float | None, seen: float | None) -> tuple[int, float]:
+        if seen is not None and abs(seen - self.anchors.get(self._right(seen), seen)) <= self.jump:
+            self.anchors[self._right(seen)], self.held[self._right(seen)] = seen, 0
+            self.index = self._nearest(seen)
+            return self.index, seen
         if ball is not None:
-            self.index = self._side(ball)
-        if seen is not None and self._side(seen) == self.index:
-            before = self.last.get(self.index)
-            if before is None or abs(seen - before) <= self.jump:
-                self.last[self.index], self.held = seen, 0
-                return self.index, seen
-        if self.index in self.last:
-            if self.hold == 0 or self.held < self.hold:
-                self.held += 1
-                return self.index, self.last[self.index]
-            self.held = 0
+            kept = self._kept(ball)
+            if kept is not None:
+                return self._nearest(kept), kept
+            self.index = self._nearest(ball)
         return self.index, self.court[self.index]
 
 

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from courtline.functions import boxes
-from courtline.operators import lookback, states
+from courtline.operators import folds, lookback, states
 
 SQUARE = np.array([[0.2, 0.2], [0.4, 0.2], [0.4, 0.4], [0.2, 0.4]])
 
@@ -38,10 +38,42 @@ def test_hoop_holds_rejects_a_jump_and_follows_the_ball():
     h = states.ActiveHoop([0.25, 0.75])
     assert h.step(0.2, 0.26) == (0, 0.26)
     assert h.step(0.2, 0.45) == (0, 0.26)  # too far on its side
-    assert h.step(None, None) == (0, 0.26)
+    assert h.step(None, None) == (0, 0.25)  # held for a ball that is seen only
+    assert h.step(0.2, None) == (0, 0.26)
     assert h.step(0.8, None) == (1, 0.75)
+    assert h.step(0.2, 0.74) == (1, 0.74)  # a hoop on the other side than the ball counts
+    assert h.step(None, None) == (1, 0.75)
     limited = states.ActiveHoop([0.25, 0.75], hold=1)
-    assert [limited.step(0.2, x)[1] for x in (0.3, None, None)] == [0.3, 0.3, 0.25]
+    assert [limited.step(0.2, x)[1] for x in (0.3, None, None, None)] == [0.3, 0.3, 0.25, 0.3]
+    sides = states.ActiveHoop([0.25, 0.75], hold=1)
+    assert [sides.step(*x)[1] for x in ((0.2, 0.3), (0.8, 0.7), (0.2, None), (0.8, None), (0.2, None))] == [0.3, 0.7, 0.3, 0.7, 0.25]
+
+
+def test_a_ball_in_flight_is_predicted_longer():
+    hoop = (0.5, 0.3, 0.1, 0.1)
+    far, near = folds.Kalman(), folds.Kalman()
+    for k in (far, near):
+        k.step((0.5, 0.35))
+    assert [far.step(None)[2] for _ in range(9)] == [True] * 8 + [False]
+    assert [near.step(None, hoop)[2] for _ in range(21)] == [True] * 20 + [False]
+
+
+def test_merging_fragments():
+    def row(i, t0, t1, x=0.0, team=None, jersey=None, **more):
+        return {"track_id": i, "t0": t0, "x0": x, "y0": 0.0, "t1": t1, "x1": x, "y1": 0.0, "team": team, "jersey": jersey, **more}
+
+    assert folds.merge_fragments([row(1, 0, 1), row(2, 2, 3, team="home"), row(3, 4, 5, team="away")]) == {1: 1, 2: 1, 3: 3}
+    assert folds.merge_fragments([row(1, 0, 1), row(2, 2, 3, x=11.0)]) == {1: 1, 2: 2}  # too far
+    assert folds.merge_fragments([row(1, 0, 1), row(2, 1.5, 3, x=5.0)]) == {1: 1, 2: 2}  # too fast
+    assert folds.merge_fragments([row(1, 0, 1, jersey="7"), row(2, 0, 1.5), row(3, 2, 3, jersey="7")]) == {1: 1, 2: 2, 3: 1}  # numbers first
+    assert folds.merge_fragments([row(1, 0, 1, red=0, green=0, blue=0), row(2, 2, 3, red=200, green=0, blue=0)]) == {1: 1, 2: 2}
+    assert folds.merge_fragments([row(1, 0, 1), row(2, 10, 11)]) == {1: 1, 2: 2}  # too late
+
+
+def test_clocks_are_bridged_and_held():
+    times = [float(k) for k in range(12)]
+    read = [[600], [599], [598], [], [596, 100], [], [594], [593], [592], [], [], []]
+    assert folds.countdown(times, read) == [600, 599, 598, 597, 596, 595, 594, 593, 592, 592, 592, None]
 
 
 def test_gated_ball_relocks_and_gives_up():
