@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import math
 from collections import Counter
@@ -107,8 +109,7 @@ class Index:
         self.begin = np.cumsum(self.size) - self.size
         self.term = np.concatenate([r[2][0] for r in full]) if full else np.zeros(0, np.int32)
         self.count = np.concatenate([r[2][1] for r in full]) if full else np.zeros(0, np.int32)
-        raw = self._raw(self.term, self.count)
-        self.norm = np.sqrt(np.add.reduceat(raw * raw, self.begin)) if full else np.zeros(0)
+        self.norm = np.array([math.sqrt(float(raw @ raw)) for raw in (self._raw(*r[2]) for r in full)])
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "search"}  # each worker makes its own
@@ -271,11 +272,16 @@ def _vectors(rows: DataFrame, used: dict[int, int]) -> tuple[dict[bytes, int], l
 
         return step
 
-    got = sorted((r.i, r.words, r.n) for r in map_texts(rows, "t", "words binary, n binary", make, ["i"]).toLocalIterator() if r.i in used)
+    got: dict[int, tuple[bytes, bytes]] = {}
+    for r in map_texts(rows, "t", "words binary, n binary", make, ["i"]).toLocalIterator():
+        if r.i in used:  # of rows that share an id, one
+            own = (bytes(r.words), bytes(r.n))
+            got[r.i] = min(got.get(r.i, own), own)
     terms: dict[bytes, int] = {}
     prefix: dict[int, int] = {}  # of a word's number
     out = []
-    for i, (names, n) in {i: (names, n) for i, names, n in reversed(got)}.items():  # of rows that share an id, one
+    for i in sorted(got):
+        names, n = got.pop(i)
         own = []
         for word in names.split():
             if (t := terms.get(word)) is None:
@@ -339,7 +345,17 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
     n0, total, sample = len(vectors) - n1, both[0] + both[1], len(vectors)
     excess = both[1] * n0 - both[0] * n1
     chi2 = sample * excess * excess / (max(n0, 1) * max(n1, 1) * total * (sample - total + 0.5))
-    return Index(terms, (1 + np.log((1 + n) / (1 + have))) * np.sqrt(1 + chi2), vectors)
+    out = Index(terms, (1 + np.log((1 + n) / (1 + have))) * np.sqrt(1 + chi2), vectors)
+    del vectors
+    give_back()
+    return out
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system, which a long-lived driver else keeps."""
+    gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def calibrated(spark, index: Index):
@@ -352,7 +368,10 @@ def calibrated(spark, index: Index):
             yield pa.RecordBatch.from_pydict({"id": pa.array(row, pa.int64()), "vote": pa.array(model.value.left_out(row), pa.float64())})
 
     got = spark.range(0, n, 1, max(1, min(24, n // 64))).mapInArrow(votes, "id bigint, vote double").collect() if n else []
-    return model, index.calibrate(np.array([r.vote for r in sorted(got, key=lambda r: r.id)]))
+    odds = index.calibrate(np.array([r.vote for r in sorted(got, key=lambda r: r.id)]))
+    del index, got
+    give_back()
+    return model, odds
 
 
 def score_toxicity(docs: DataFrame, train: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", keep: list[str] | None = None, max_rows: int = MAX_LABELLED) -> DataFrame:
