@@ -10,9 +10,11 @@ from courtline.llm.batches import map_texts
 
 #: Bytes of context at most.
 ORDER = 4
-#: Training documents over all languages, dealt evenly; of a longer text so many bytes are learned.
+#: Training documents over all languages, dealt evenly; of a longer text so many bytes are learned, from a place chosen by a hash.
 MAX_DOCS, MAX_BYTES = 2_000, 32_768
 UNKNOWN = "und"
+#: Bytes that are scored at once.
+PIECE = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,32 +82,34 @@ class Model:
         known = np.unique(np.concatenate([t.symbols[ORDER] for t in self.trees])) if self.trees else np.zeros(0, np.uint64)
         self.shift = np.uint64(64 - max(4, int(np.ceil(np.log2(max(len(known), 1) * 3)))))
         size = 1 << (64 - int(self.shift))
-        self.keys = np.full(size, np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.table = np.zeros((size, max(len(self.langs), 1)), np.float32)
-        bits = np.stack([t.cost(known) for t in self.trees], 1) if self.trees else np.zeros((0, 1))
-        rest, slot, empty = np.arange(len(known)), (known * _MIX) >> self.shift, self.keys[0]
+        self.known, self.rows = known, np.full(size, -1, np.int32)
+        self.bits = np.stack([t.cost(known) for t in self.trees], 1) if self.trees else np.zeros((0, 1))
+        rest, slot = np.arange(len(known), dtype=np.int32), (known * _MIX) >> self.shift
         while len(rest):
-            free = np.flatnonzero(self.keys[slot] == empty)
+            free = np.flatnonzero(self.rows[slot] < 0)
             where, first = np.unique(slot[free], return_index=True)
             put = free[first]
-            self.keys[where], self.table[where] = known[rest[put]], bits[rest[put]]
+            self.rows[where] = rest[put]
             left = np.ones(len(rest), bool)
             left[put] = False
             rest, slot = rest[left], (slot[left] + np.uint64(1)) & np.uint64(size - 1)
 
     def costs(self, keys: np.ndarray) -> np.ndarray:
         """Bits of each (ORDER + 1)-gram's last byte, a column for each language."""
-        slot, mask = (keys * _MIX) >> self.shift, np.uint64(len(self.keys) - 1)
-        out, todo, empty = self.table[slot], np.flatnonzero(self.keys[slot] != keys), np.uint64(0xFFFFFFFFFFFFFFFF)
+        if not len(self.known):
+            return np.stack([t.cost(keys) for t in self.trees], 1)
+        slot, mask = (keys * _MIX) >> self.shift, np.uint64(len(self.rows) - 1)
+        row = self.rows[slot]
+        out = self.bits[row]
+        todo = np.flatnonzero((row < 0) | (self.known[row] != keys))
         slot = slot[todo]
         unknown = []
         while len(todo):
-            here = self.keys[slot]
-            unknown.append(todo[here == empty])
-            go = here != empty
-            hit = here == keys[todo]
-            out[todo[hit]] = self.table[slot[hit]]
-            go &= ~hit
+            row = self.rows[slot]
+            unknown.append(todo[row < 0])
+            hit = (row >= 0) & (self.known[row] == keys[todo])
+            out[todo[hit]] = self.bits[row[hit]]
+            go = (row >= 0) & ~hit
             todo, slot = todo[go], (slot[go] + np.uint64(1)) & mask
         rest = np.concatenate(unknown) if unknown else np.zeros(0, int)
         if len(rest):
@@ -121,16 +125,16 @@ class Model:
             return out
         buf, starts = joined([texts[i] for i in good])
         total = np.zeros((len(good), len(self.langs)))
-        piece = 1 << 18
-        keys = grams(buf, ORDER + 1)
-        owner = np.repeat(np.arange(len(good)), np.diff(starts))
-        own = np.ones(len(buf), bool)
-        own[(starts[:-1, None] + np.arange(ORDER)).ravel()] = False
-        keys, owner = keys[own], owner[own]
-        for lo in range(0, len(keys), piece):
-            bits, who = self.costs(keys[lo : lo + piece]), owner[lo : lo + piece]
+        for lo in range(ORDER, len(buf), PIECE):  # a long text takes a few times its size, not dozens
+            at = np.arange(lo, min(lo + PIECE, len(buf)))
+            who = np.searchsorted(starts, at, side="right") - 1
+            own = at - starts[who] >= ORDER
+            who = who[own]
+            if not len(who):
+                continue
+            bits = self.costs(grams(buf[lo - ORDER : lo + PIECE], ORDER + 1)[ORDER:][own])
             first = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
-            total[who[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.float64)
+            total[who[first]] += np.add.reduceat(bits, first, axis=0)
         best = total.argmin(1)
         odds = np.exp2(np.clip(total.min(1, keepdims=True) - total, -1000, 0))
         for i, b, p, t in zip(good, best, 1 / odds.sum(1), total, strict=True):
@@ -149,11 +153,11 @@ _NOT_ASCII_LETTERS = bytes(b for b in range(256) if not chr(b).isalpha() or b >
 def training_sample(docs: DataFrame, doc_id: str, text: str, lang: str, max_docs: int, max_bytes: int) -> dict[str, list[bytes]]:
     """At most about `max_docs` documents, the same number of each language and one at least, chosen by a hash of the id.
 
-    Of a text of more than `max_bytes` bytes its first `max_bytes` are learned.
+    Of a text of more than `max_bytes` bytes so many are learned, from a place chosen by a hash; any part may be the one.
     """
     place = F.pmod(F.xxhash64(F.col(doc_id), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     whole = docs.select(F.col(doc_id).alias("i"), F.col(lang).cast("string").alias("l"), F.col(text).cast("string").alias("t"), place.alias("h"))
-    usable = whole.where("l IS NOT NULL AND octet_length(t) >= 1").withColumn("t", F.substring("t", 1, max_bytes))
+    usable = whole.where("l IS NOT NULL AND octet_length(t) >= 1").withColumn("t", F.expr(f"substring(CAST(t AS binary), CAST(1 + pmod(xxhash64(i, 11), greatest(octet_length(t) - {max_bytes}, 0) + 1) AS int), {max_bytes})"))
     counts = {r.l: (r.n, r.h) for r in usable.groupBy("l").agg(F.count("*").alias("n"), F.min("h").alias("h")).orderBy(F.desc("n"), "l").limit(max_docs).collect()}
     if not counts:
         return {}
@@ -163,7 +167,7 @@ def training_sample(docs: DataFrame, doc_id: str, text: str, lang: str, max_docs
     out: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r.h, r.i is not None, r.i)):
         if len(out.setdefault(r.l, [])) < share:
-            out[r.l].append(r.t.encode()[:max_bytes].decode("utf-8", "ignore").encode())
+            out[r.l].append(bytes(r.t).decode("utf-8", "ignore").encode())
     return out
 
 
