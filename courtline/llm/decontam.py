@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from courtline.llm.batches import drop, map_texts, written
 
 WINDOW = 13
-#: Windows in one automaton (about 60 MB); a larger benchmark is scanned in several passes.
+#: Pairs of a window and an item in one automaton (60 MB at most or so); a larger benchmark is scanned in several passes.
 SHARD_WINDOWS = 20_000
 
 _SEPARATORS = [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
@@ -74,18 +75,35 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def shards(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterator[dict[bytes, tuple[int, set[str]]]]:
-    """The benchmark's windows in automata of at most `limit` windows (or one item's); rows stream to the driver."""
+    """The benchmark's windows in automata of at most `limit` pairs of a window and an item that has it.
+
+    Rows stream to the driver; a long item, and a window that many items share, are divided as well.
+    """
     own: dict[bytes, tuple[int, set[str]]] = {}
+    pairs = 0
     rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     for row in rows.toLocalIterator():
         for pattern, n in windows(normal_words(row.t.encode())):
-            own.setdefault(pattern, (n, set()))[1].add(row.i)
-        if len(own) >= limit:
-            yield own
-            own = {}
+            items = own.setdefault(pattern, (n, set()))[1]
+            pairs += row.i not in items
+            items.add(row.i)
+            if pairs >= limit:
+                yield own
+                own, pairs = {}, 0
     yield own
 
 
+#: The automaton that this Python worker built last, by name: it lasts over the tasks that a worker runs.
+_AUTOMATA: dict[str, ahocorasick.Automaton] = {}
+
+
+def automaton_of_worker(name: str, model) -> ahocorasick.Automaton:
+    if name not in _AUTOMATA:
+        _AUTOMATA.clear()
+        _AUTOMATA[name] = automaton(model.value)
+    return _AUTOMATA[name]
+
+
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, shard_windows: int = SHARD_WINDOWS
 ) -> DataFrame:
@@ -105,8 +123,8 @@ def decontaminate(
         model, after = spark.sparkContext.broadcast(shard), next(todo, None)
         more = "__ranges array<struct<lo:int,hi:int>>, __items array<string>"
 
-        def make(model=model, first=carried is None):
-            found = automaton(model.value)
+        def make(model=model, name=uuid.uuid4().hex, first=carried is None):
+            found = automaton_of_worker(name, model)
 
             def step(texts, part):
                 rows = [scan(found, t) for t in texts]
