@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +16,10 @@ from courtline.llm.batches import map_texts
 WIDTH, ROWS, DELAY = 64, 4096, 4
 #: Colour histogram: two bits of each of red, green and blue.
 BINS = 64
+#: Pixels of the largest canvas that is drawn (64 MB); a file that claims a larger one is at fault.
+MOST_PIXELS = 1 << 24
+#: Samples that are encoded or decoded at once, a single larger picture apart.
+AT_ONCE = 1 << 21
 _MOST = 4096
 _GREY = bytes(c for v in range(256) for c in (v, v, v))
 
@@ -231,12 +236,25 @@ def _blocks(stream: bytes) -> bytes:
     return b"".join(bytes([len(part := stream[i : i + 255])]) + part for i in range(0, len(stream), 255)) + b"\0"
 
 
+def _together(things: list, size) -> Iterator[list]:
+    """Consecutive things in groups of about AT_ONCE by `size`."""
+    group, filled = [], 0
+    for x in things:
+        group.append(x)
+        filled += size(x)
+        if filled >= AT_ONCE:
+            yield group
+            group, filled = [], 0
+    if group:
+        yield group
+
+
 def encode_payloads(payloads: list[bytes], width: int = WIDTH, rows: int = ROWS) -> list[bytes]:
     """For each payload a GIF whose grey levels are its bytes, row by row, in frames of at most `rows` rows."""
     if any(not p or len(p) % width for p in payloads) or width % 2:
         raise GifError("payloads must fill whole rows of even width")
     cut = [[p[i : i + width * rows] for i in range(0, len(p), width * rows)] for p in payloads]
-    streams = iter(lzw_encode_all([f for own in cut for f in own]))
+    streams = (x for group in _together([f for own in cut for f in own], len) for x in lzw_encode_all(group))
     out = []
     for own in cut:
         parts = [b"GIF89a", struct.pack("<HHBBB", width, len(own[0]) // width, 0xF7, 0, 0), _GREY]
@@ -294,6 +312,8 @@ def parse(data: bytes) -> tuple[tuple[int, int], list[Picture], str | None]:
     width, height, flags, _, _ = struct.unpack("<HHBBB", data[6:13])
     at, shared, out = 13, None, []
     delay, disposal, transparent = 0, 0, -1
+    if width * height > MOST_PIXELS:
+        return (width, height), [], f"a canvas of {width} x {height}"
 
     def table(flags: int, at: int) -> tuple[np.ndarray, int]:
         size = 3 * (2 << (flags & 7))
@@ -326,6 +346,8 @@ def parse(data: bytes) -> tuple[tuple[int, int], list[Picture], str | None]:
                 raise GifError(f"unknown block {data[at]}")
             left, top, w, h, flags = struct.unpack("<HHHHB", data[at + 1 : at + 10])
             at += 10
+            if left + w > width or top + h > height:
+                raise GifError("a picture beyond the canvas")
             palette = shared
             if flags & 0x80:
                 palette, at = table(flags, at)
@@ -345,7 +367,7 @@ def compose(size: tuple[int, int], pictures: list[Picture], samples: list[bytes]
     """Frames in order, each drawn on the canvas by its palette and transparency after the disposal of those before it."""
     canvas, clock = np.zeros((size[1], size[0], 4), np.uint8), 0
     for p, own in zip(pictures, samples, strict=True):
-        pixels = np.frombuffer(own.ljust(p.width * p.height, b"\0"), np.uint8).reshape(p.height, p.width)
+        pixels = np.frombuffer(own, np.uint8).reshape(p.height, p.width)
         if p.interlaced:
             order = np.concatenate([np.arange(s, p.height, d) for s, d in ((0, 8), (4, 8), (2, 4), (1, 2))])
             plain = np.empty_like(pixels)
@@ -356,7 +378,6 @@ def compose(size: tuple[int, int], pictures: list[Picture], samples: list[bytes]
         colours[:, 3] = 255
         before = canvas.copy() if p.disposal == 3 else None
         shown = canvas[p.top : p.top + p.height, p.left : p.left + p.width]
-        pixels = pixels[: shown.shape[0], : shown.shape[1]]
         new = colours.view(np.uint32).ravel()[pixels].view(np.uint8).reshape(*pixels.shape, 4)
         if p.transparent >= 0:
             kept = pixels == p.transparent
@@ -379,8 +400,11 @@ def decoded(files: list[bytes]):
         for k, p in enumerate(pictures):
             by_size.setdefault(p.literal, []).append((i, k))
     for literal, places in by_size.items():
-        own = [parsed[i][1][k] for i, k in places]
-        samples.update(zip(places, lzw_decode_all([p.stream for p in own], literal, [p.width * p.height for p in own]), strict=True))
+        for group in _together(places, lambda x: parsed[x[0]][1][x[1]].width * parsed[x[0]][1][x[1]].height):
+            own = [parsed[i][1][k] for i, k in group]
+            most = [p.width * p.height for p in own]
+            made = lzw_decode_all([p.stream for p in own], literal, most)
+            samples.update((at, x if isinstance(x, GifError) or len(x) == n else GifError("a picture cut short")) for at, x, n in zip(group, made, most, strict=True))
     for i, (size, pictures, fault) in enumerate(parsed):
         got = [samples[i, k] for k in range(len(pictures))]
         bad = next((k for k, x in enumerate(got) if isinstance(x, GifError)), len(got))
@@ -411,7 +435,8 @@ _FIELDS = ("start_ms", "delay_ms", "left", "top", "width", "height", "disposal",
 def read_gifs(df: DataFrame, media: str = "media", keep: list[str] | None = None) -> DataFrame:
     """Decodes a binary GIF column: timed frames with colour histograms, and `samples`, the frames' red samples one after another.
 
-    Media that are null or broken give null samples, the frames before the fault, and the fault in `error`.
+    Media that are null or broken give null samples, the frames before the fault, and the fault in `error`: pictures with
+    too few samples or beyond the canvas, and canvases of over MOST_PIXELS, are faults.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
