@@ -13,6 +13,8 @@ from courtline.llm.batches import map_texts
 
 #: Entries of the younger half of each cache. When it is full it becomes the older half, whose entries come back when asked for.
 CACHE = 300_000
+#: Longer keys are not kept, so that a cache is bounded in bytes too.
+LONGEST_KEY = 256
 
 
 class Cache:
@@ -29,6 +31,8 @@ class Cache:
         return got
 
     def put(self, key, value) -> None:
+        if len(key) > LONGEST_KEY:
+            return
         if len(self.young) >= CACHE:
             self.old, self.young = self.young, {}
         self.young[key] = value
