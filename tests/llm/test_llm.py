@@ -60,6 +60,17 @@ def test_decontamination(spark, limit):
         assert sum(len(decontam.normal_words(text[s.start : s.end].encode())) for s in r.spans) == r.n_hit
 
 
+@pytest.mark.parametrize("limit", [5, 40])
+def test_shared_windows_and_long_items_are_divided(spark, limit):
+    items = [(k, "a b c") for k in range(30)] + [(99, " ".join(f"w{i}" for i in range(60)))]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    parts = [*decontam.shards(bench, "item_id", "text", limit)]
+    assert max(sum(len(x) for _, x in part.values()) for part in parts) <= limit
+    text = "x " + " ".join(f"w{i}" for i in range(60)) + " A, b, C"
+    (got,) = decontam.decontaminate(frame(spark, [(1, text)]), bench, shard_windows=limit).collect()
+    assert (got.n_words, got.n_hit, got.n_items, ",".join(got["items"]), got.contaminated) == brute_hits(text, items)
+
+
 def test_decontamination_of_odd_texts(odd, spark):
     empty = spark.createDataFrame([], "item_id bigint, text string")
     assert decontam.decontaminate(odd, empty).where("n_hit > 0").count() == 0
@@ -224,6 +235,31 @@ def test_gif_disposal_transparency_and_interlace():
     assert next(iter(frames)).rgba[:, 0, :3].tolist() == [colours[r[0]] for r in rows]
 
 
+def test_faults_of_media():
+    whole = gif.encode_payloads([bytes(range(64)) * 10])[0]
+    at = whole.index(b"\x2c\0\0\0\0")
+
+    def fault(data: bytes) -> str | None:
+        ((_, frames, error),) = gif.decoded([data])
+        assert error is None or not [*frames]
+        return error
+
+    assert fault(whole) is None
+    assert fault(whole[: at + 1] + b"\1" + whole[at + 2 :]) == "a picture beyond the canvas"
+    assert "canvas of 65535" in fault(whole[:6] + b"\xff\xff\xff\xff" + whole[10:])
+    short = gif.encode_payloads([bytes(64)])[0]
+    stream = short[short.index(b"\x2c\0\0\0\0") + 10 :]
+    assert fault(whole[: at + 10] + stream) == "a picture cut short"
+
+
+def test_long_payloads_in_groups(monkeypatch):
+    monkeypatch.setattr(gif, "AT_ONCE", 3000)
+    payloads = [np.random.default_rng(k).integers(0, 256, 64 * n, np.uint8).tobytes() for k, n in enumerate((1, 9000, 2, 70))]
+    assert gif.encode_payloads(payloads) == [gif.encode_payloads([p])[0] for p in payloads]
+    for payload, (_, frames, error) in zip(payloads, gif.decoded(gif.encode_payloads(payloads)), strict=True):
+        assert error is None and b"".join(f.grey() for f in frames) == payload
+
+
 def test_media_of_odd_texts(spark, odd):
     rows = gif.read_gifs(gif.store_payloads(odd.select("doc_id", "text")), keep=["doc_id"]).collect()
     want = sorted((t or "").encode().ljust(max(64, -(-len((t or "").encode()) // 64) * 64), b"\0") for _, t in odd.select("doc_id", "text").collect())
@@ -366,6 +402,46 @@ def test_code_lengths_by_table_and_by_tree():
             assert np.allclose(np.bincount(seen, 2.0 ** -tree.bits[k]) + 2.0 ** -tree.escapes[k], 1)
 
 
+def ppm_bits(train: list[bytes], text: bytes) -> float:
+    """Code length by counts in plain dictionaries: method C, orders 4 to 0, then 8 bits."""
+    counts: dict[bytes, dict[int, int]] = {}
+    for t in train:
+        t = bytes(4) + t.lower()
+        for i in range(4, len(t)):
+            for k in range(5):
+                own = counts.setdefault(bytes([k]) + t[i - k : i], {})
+                own[t[i]] = own.get(t[i], 0) + 1
+    total, text = 0.0, bytes(4) + text.lower()
+    for i in range(4, len(text)):
+        for k in (4, 3, 2, 1, 0, -1):
+            own = counts.get(bytes([k]) + text[i - k : i], {}) if k >= 0 else {}
+            if text[i] in own:
+                total -= np.log2(own[text[i]] / (sum(own.values()) + len(own)))
+                break
+            total += 8 if k < 0 else -np.log2(len(own) / (sum(own.values()) + len(own))) if own else 0
+    return total
+
+
+@pytest.mark.parametrize("piece", [langid.PIECE, 7])
+def test_code_lengths_by_plain_dictionaries(monkeypatch, piece):
+    monkeypatch.setattr(langid, "PIECE", piece)
+    rnd = random.Random(3)
+    words = ["banana", "Band", "abra", "cadabra", "é", "zz", ". ", " "]
+    train = {x: ["".join(rnd.choices(words, k=30)).encode() for _ in range(3)] for x in ("a", "b")}
+    texts = ["".join(rnd.choices([*words, "q"], k=k)).encode() for k in (1, 2, 9, 40)]
+    for text, (lang, score, bits) in zip(texts, langid.Model(train).predict(texts), strict=True):
+        want = [ppm_bits(train[x], text) for x in ("a", "b")] if langid.has_letter(text) else []
+        assert np.allclose(bits, want, rtol=1e-12)
+        if want:
+            assert lang == "ab"[int(np.argmin(want))] and np.isclose(score, 1 / (1 + 2.0 ** -abs(want[0] - want[1])))
+
+
+def test_any_part_of_a_long_text_may_be_learned(spark):
+    rows = [(i, "a" * 400 + "b" * 400 + "é" * 200, "x") for i in range(60)]
+    learned = langid.training_sample(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "doc_id", "text", "lang", 60, 100)["x"]
+    assert all(98 <= len(t) <= 100 for t in learned) and {c for t in learned for c in t.decode()} == set("abé")
+
+
 # 6 -----------------------------------------------------------------------------------------------------------------
 
 
