@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from courtline.functions import boxes as fb
 from courtline.functions import geometry, text
-from courtline.operators import folds, matching, tracks
+from courtline.operators import attempts, folds, matching, tracks
 from courtline.sources.views import boxes, read, readings, track_points, with_views
 
 HOUR = 3600.0
@@ -215,9 +216,49 @@ def rim_signals(spark, d):
     return tracks.rim_signals(track_points(spark, d), 0.45).where("signal IS NOT NULL").select("track_id", "frame", "signal")
 
 
-@query()
+#: Rows of all points with the signals, the gates that look back, and what the automaton needs; then its steps, one row of each track at a time.
+_JUDGED = """f AS (SELECT *, conf >= 0.2::double AS v, conf >= 0.3::double AS d, abs(px - 0.5::double) AS x, conf >= 0.2::double AND py BETWEEN 0.45::double - 0.03::double AND 0.45::double + 0.03::double AS tube FROM trk),
+ b AS (SELECT *, max(CASE WHEN v AND py > 0.45::double THEN py END) OVER back AS deepest, last_value(CASE WHEN v AND py <= 0.45::double THEN py END IGNORE NULLS) OVER back AS above,
+  max(CASE WHEN v AND NOT tube THEN 1 ELSE 0 END) OVER back AS outside, first_value(CASE WHEN v THEN x END IGNORE NULLS) OVER back AS first,
+  coalesce(lag(v) OVER w AND x > lag(x) OVER w + 0.005::double, false) AS away, row_number() OVER w AS n, coalesce(py < lag(py) OVER w, false) AS up,
+  d AND row_number() OVER w > 2 AND (max(CAST(v AND NOT d AS integer)) OVER (PARTITION BY track_id ORDER BY t, frame ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) = 1 OR NOT lag(v AND d) OVER w) AS again,
+  coalesce((px - lag(px, 2) OVER w) / 2, 0) AS vx, coalesce((py - lag(py, 2) OVER w) / 2, 0) AS vy
+  FROM f WINDOW w AS (PARTITION BY track_id ORDER BY t, frame), back AS (PARTITION BY track_id ORDER BY t, frame ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)),
+ r AS (SELECT *, coalesce(deepest >= 0.45::double + 0.012::double AND py <= deepest - 0.005::double, false) AS risen FROM b),
+ s AS (SELECT *, CASE WHEN v AND py > 0.45::double AND py >= above + 0.003::double THEN 'crossed_down' WHEN v AND py <= 0.45::double AND deepest IS NOT NULL AND py <= greatest(deepest, 0.45::double) - 0.005::double THEN 'crossed_up'
+  WHEN tube AND outside = 1 THEN 'rim_tube' WHEN v AND py > 0.45::double AND py <= 0.45::double + 0.08::double AND risen THEN 'approach' WHEN again AND py <= 0.45::double + 0.08::double AND risen THEN 'resume' END AS signal FROM r),
+ g AS (SELECT *, x <= (0.2::double / 2 * 1.5::double) AS near, v AND py > 0.45::double + 0.07::double AS low, v AND n > 1 AND signal IS NOT NULL AND x <= (0.2::double / 2 * 1.5::double)
+  AND py <= 0.45::double + CASE WHEN signal IN ('crossed_up', 'crossed_down', 'rim_tube') THEN 0.08::double ELSE 0.03::double END
+  AND (signal IN ('crossed_up', 'crossed_down', 'rim_tube') OR (NOT away AND (x <= 0.4::double * (0.2::double / 2 * 1.5::double) OR coalesce(x < first - 0.005::double, false)))) AS candidate FROM s),
+ steps AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY t, frame) AS k FROM g WHERE candidate OR low),
+ runs AS (SELECT track_id, 0::bigint AS k, true AS armed, -1e300::double AS last, NULL::bigint AS hit FROM (SELECT DISTINCT track_id FROM steps)
+  UNION ALL SELECT s.track_id, s.k, CASE WHEN NOT r.armed THEN s.low ELSE NOT (s.candidate AND s.t - r.last >= 3600) END, CASE WHEN r.armed AND s.candidate AND s.t - r.last >= 3600 THEN s.t ELSE r.last END,
+   CASE WHEN r.armed AND s.candidate AND s.t - r.last >= 3600 THEN s.frame END FROM runs r JOIN steps s ON s.track_id = r.track_id AND s.k = r.k + 1),
+ shots AS (SELECT s.*, sqrt(vx * vx + vy * vy) AS speed FROM runs r JOIN steps s ON s.track_id = r.track_id AND s.k = r.k WHERE r.hit IS NOT NULL)"""
+_CONFIDENCE = "0.3::double * least(speed / 0.08::double, 1.0::double) + 0.7::double * (0.3::double * up::integer + 0.3::double * near::integer + 0.2::double * d::integer + 0.2::double * (frame % 2 = 0)::integer)"
+
+
+def _shots(spark, d):
+    detected = F.col("conf") >= 0.3
+    rows = attempts.judged(track_points(spark, d), 0.5, 0.2, 0.45, detected)
+    rows = rows.withColumn("confidence", fb.attempt_confidence(F.col("speed"), F.col("up"), F.col("near"), detected.cast("int"), (F.col("frame") % 2 == 0).cast("int")))
+    return attempts.shot_attempts(rows, 0.45, HOUR)
+
+
+@query(f"WITH RECURSIVE {_JUDGED} SELECT track_id, frame, signal, {_micro('speed')} AS speed, CAST(floor(({_CONFIDENCE}) * 1000 + 0.5) AS bigint) AS confidence FROM shots")
 def shot_attempts(spark, d):
-    return folds.shot_attempts(tracks.rim_signals(track_points(spark, d), 0.45), 0.45, HOUR)
+    """All six gates and five signals of each track's rows, with the entry speed and the soft score of each attempt."""
+    return _shots(spark, d).select("track_id", "frame", "signal", F.expr(_micro("speed")).alias("speed"), F.floor(F.col("confidence") * 1000 + 0.5).alias("confidence"))
+
+
+@query(f"""WITH RECURSIVE {_JUDGED}, e AS (SELECT *, t - lag(t) OVER w AS dt, abs(px - lag(px) OVER w) AS dx FROM shots WINDOW w AS (PARTITION BY track_id ORDER BY t, frame)),
+ o AS (SELECT *, sum(CASE WHEN dt > 0 AND dt <= 36000 AND dx <= 0.3::double THEN 0 ELSE 1 END) OVER (PARTITION BY track_id ORDER BY t, frame ROWS UNBOUNDED PRECEDING) AS session FROM e)
+SELECT track_id, count(*) AS attempts, count(DISTINCT session) AS kept, sum(CAST(signal IN ('approach', 'resume') AS integer)) AS away_from_rim, min(frame) AS least_frame FROM o GROUP BY track_id""")
+def attempt_summary(spark, d):
+    """From points to attempts to sessions: how many attempts a track has, and how many are left when repeats are taken out."""
+    rows = tracks.sessions(_shots(spark, d), 10 * HOUR, 0.3)
+    away = F.sum(F.col("signal").isin("approach", "resume").cast("int"))
+    return rows.groupBy("track_id").agg(F.count("*").alias("attempts"), F.count_distinct("session").alias("kept"), away.alias("away_from_rim"), F.min("frame").alias("least_frame"))
 
 
 @query()
