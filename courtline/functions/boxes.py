@@ -118,3 +118,11 @@ def segment_points(xa: Column, ya: Column, xb: Column, yb: Column, steps: int =
     """Array of evenly spaced points (x, y) of a segment, both ends included."""
     parts = F.array(*[F.lit(k / (steps - 1)) for k in range(steps)])
     return F.transform(parts, lambda t: F.struct(((1 - t) * xa + t * xb).alias("x"), ((1 - t) * ya + t * yb).alias("y")))
+
+
+def torso_crop(x1: Column, y1: Column, x2: Column, y2: Column, width: float, height: float, inset: float = 0.22, top: float = 0.18, bottom: float = 0.48, least: int = 4) -> Column:
+    """Pixel bounds (cx1, cx2, cy1, cy2) of the upper body in a player's box, cut towards zero; null under `least` pixels."""
+    left, right, up, down = x1 * width, x2 * width, y1 * height, y2 * height
+    sides = (left + (right - left) * inset, right - (right - left) * inset, up + (down - up) * top, up + (down - up) * bottom)
+    a, b, c, d = (F.greatest(F.lit(0), F.least(F.lit(int(size)), v.cast("int"))) for v, size in zip(sides, (width, width, height, height), strict=True))
+    return F.when((b - a >= least) & (d - c >= least), F.struct(a.alias("cx1"), b.alias("cx2"), c.alias("cy1"), d.alias("cy2")))

@@ -40,3 +40,25 @@ def looks_like_referee(saturation: Column, brightness_spread: Column, near_kit:
     """Dull clothes, or stripes with little colour, unless the colour is near a kit's."""
     striped = (brightness_spread >= 40.0) & (saturation < 50.0)
     return ((saturation < least_saturation) | striped) & ~near_kit
+
+
+def lab8(r: Column, g: Column, b: Column) -> tuple[Column, ...]:
+    """Lab rounded to whole numbers."""
+    return tuple(F.floor(v + 0.5) for v in lab(r, g, b))
+
+
+def chromatic(h: Column, s: Column, v: Column, dark: bool = False, least_saturation: int = 40, least_value: int = 40) -> Column:
+    """Whether a pixel (hue to 180, saturation and value to 255) looks like dyed cloth."""
+    # Skin hues and saturations, and blown highlights.
+    skin = h.between(3, 18) & s.between(40, 180) & (v >= 80)
+    blown = (v > 245) & (s < 40)
+    kept = (s >= least_saturation) & (v >= least_value)
+    return ~skin & ~blown & (kept | ((s >= 20) & (v >= 15) & (v < least_value)) if dark else kept)
+
+
+def nearest_kit(point: list[Column], kits: dict[str, tuple[int, int, int]], margin: float) -> Column:
+    """Name of the kit (red, green, blue) nearest to a Lab point; null if the second is under `margin` farther."""
+    from courtline.operators.lookback import nearest_with_margin
+
+    far = [F.sqrt(sum(((p - q) * (p - q) for p, q in zip(point, lab8(*map(F.lit, kit)), strict=True)), F.lit(0))) for kit in kits.values()]
+    return nearest_with_margin(far, [*kits], margin)

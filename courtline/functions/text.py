@@ -94,3 +94,15 @@ def keypoint_order(text: Column) -> Column:
     """Four comma-separated indices, a permutation of 0 to 3, as an array; null for null, empty and `auto`, and for anything else."""
     parts = F.transform(F.split(text, ","), lambda p: F.trim(p).try_cast("int"))
     return F.when(F.array_sort(parts) == F.array(*[F.lit(k) for k in range(4)]), parts)
+
+
+def stream_section(start: Column, end: Column) -> Column:
+    """The part of a video to ask for, in seconds; null for the whole, and for an end that is not after the start."""
+    start = F.greatest(start, F.lit(0))
+    return F.when(end > start, F.format_string("*%s-%s", start, end)).when((start > 0) & end.isNull(), F.format_string("*%s-inf", start))
+
+
+def stream_format(height: Column) -> Column:
+    """Formats without sound first, MP4 before others, none higher than `height`."""
+    cap = F.format_string("[height<=%s]", height)
+    return F.concat(F.lit("bv*"), cap, F.lit("[ext=mp4]/b"), cap, F.lit("[ext=mp4]/bv*"), cap, F.lit("/b"), cap)

@@ -131,3 +131,21 @@ def last_stride(points: DataFrame, least: float = 0.05) -> DataFrame:
     rows = points.withColumns({"x0": F.lag("px").over(by_time()), "y0": F.lag("py").over(by_time())})
     rows = rows.where((F.col("px") - F.col("x0")) ** 2 + (F.col("py") - F.col("y0")) ** 2 > least)
     return rows.groupBy("track_id").agg(F.max_by(F.struct("frame", "x0", "y0", F.col("px").alias("x1"), F.col("py").alias("y1")), F.struct("t", "frame")).alias("s")).select("track_id", "s.*")
+
+
+def assembled(points: DataFrame, sure: Column) -> DataFrame:
+    """(track_id, label, points, first_seen): the label of a track's last point, its size, and its first sure frame."""
+    at = F.struct("t", "frame")
+    return points.groupBy("track_id").agg(F.max_by("label", at).alias("label"), F.count("*").alias("points"), F.min(F.when(sure, F.col("frame"))).alias("first_seen"))
+
+
+def search_anchor(points: DataFrame, ball: str, hoop: str, marked: list[float]) -> DataFrame:
+    """Adds anchor: of the marked hoops the nearest to the last known ball before the row (the first if there is none),
+    without marked hoops the last known hoop before it."""
+    before = by_time().rowsBetween(Window.unboundedPreceding, -1)
+    if not marked:
+        return points.withColumn("anchor", F.last(hoop, ignorenulls=True).over(before))
+    last = F.last(ball, ignorenulls=True).over(before)
+    rows = points.withColumn("__ball", last)
+    near = F.array_min(F.array(*[F.struct(F.abs(F.col("__ball") - x), F.lit(k), F.lit(x).alias("x")) for k, x in enumerate(marked)]))["x"]
+    return rows.withColumn("anchor", F.when(F.col("__ball").isNull(), marked[0]).otherwise(near)).drop("__ball")

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from courtline.plans import catalogue, entities, observations  # noqa: F401
+from courtline.plans import catalogue, entities, observations, projects  # noqa: F401
 
 
 @pytest.fixture(scope="module")
