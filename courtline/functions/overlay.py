@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import permutations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 
 
 @dataclass(frozen=True)
@@ -25,8 +26,6 @@ FIBA = Court("full", 28.0, 15.0, 4.9, 5.8)
 NBA = Court("full", 28.65, 15.24, 4.88, 5.79)
 #: Pixels of the picture that the least paint area is given for, and that area.
 REFERENCE, LEAST_PAINT = 640.0 * 360.0, 8.0
-#: Score of a homography that can't be right.
-IMPOSSIBLE = -1e9
 
 
 def paint_quads(court: Court) -> list[list[tuple[float, float]]]:
@@ -55,62 +54,50 @@ def signed_area(points: list[tuple]):
     return sum(x * points[(k + 1) % len(points)][1] - points[(k + 1) % len(points)][0] * y for k, (x, y) in enumerate(points)) * 0.5
 
 
-def _added(rows: Column, names: list[str], make) -> tuple[Column, list[str]]:
-    """An array of structs with the fields that `make` derives from those there; each step reads fields, so nothing is written out twice."""
-    new: list[str] = []
+def scores(court: Court, quad: int, points: np.ndarray, width: float, height: float) -> np.ndarray:
+    """Score of each row of four points (rows x 4 x 2, pixels) as the corners of a paint; minus infinity for what can't be.
 
-    def step(s: Column) -> Column:
-        made = make({n: s[n] for n in names})
-        new[:] = made
-        return F.struct(*[s[n].alias(n) for n in names], *[v.alias(k) for k, v in made.items()])
-
-    rows = F.transform(rows, step)
-    return rows, names + new
-
-
-def candidates(court: Court, xs: Column, ys: Column, orders: list[tuple[int, ...]]) -> tuple[Column, list[str]]:
-    """Each paint with each order of the four keypoints (arrays of x and y): their points, and the outline's corners in the paint's axes."""
-    made, names = [], ["n", "paint", "keypoints", "turn", *[f"{c}{k}" for k in range(4) for c in "uvxy"]]
-    for n, (q, order) in enumerate((q, order) for q in range(len(paint_quads(court))) for order in orders):
-        quad = paint_quads(court)[q]
-        ends = [v for k, p in enumerate(outline(court)) for v in (*map(F.lit, in_paint(court, quad, p)), F.element_at(xs, order[k] + 1), F.element_at(ys, order[k] + 1))]
-        made.append(F.struct(*[v.alias(k) for k, v in zip(names, [F.lit(n), F.lit(q), F.lit(",".join(map(str, order))), F.lit(signed_area(quad)), *ends], strict=True)]))
-    return F.array(*made), names
-
-
-def scored(court: Court, xs: Column, ys: Column, width: float, height: float, orders: list[tuple[int, ...]]) -> Column:
-    """The candidates with their scores: outline corners near the picture, areas, and the way round.
-
-    IMPOSSIBLE if fewer than three corners of the outline are near, the paint is tiny, or the court hardly larger than it,
-    or if three keypoints lie on a line. The homography takes the paint's (0, 0), (1, 0), (1, 1), (0, 1) to the four points.
+    The outline's corners near the picture, the areas, and the way round count. Impossible are fewer than three corners near,
+    a tiny paint, a court hardly larger than it, and three points on a line. The homography takes the paint's (0, 0), (1, 0),
+    (1, 1), (0, 1) to the four points, in closed form.
     """
-    rows, names = candidates(court, xs, ys, orders)
-    rows, names = _added(rows, names, lambda s: {f"d{c}1": s[f"{c}1"] - s[f"{c}2"] for c in "xy"} | {f"d{c}2": s[f"{c}3"] - s[f"{c}2"] for c in "xy"} | {f"s{c}": s[f"{c}0"] - s[f"{c}1"] + s[f"{c}2"] - s[f"{c}3"] for c in "xy"})
-    rows, names = _added(rows, names, lambda s: {"det": s["dx1"] * s["dy2"] - s["dx2"] * s["dy1"], "own": signed_area([(s[f"x{k}"], s[f"y{k}"]) for k in range(4)])})
-    rows, names = _added(rows, names, lambda s: {k: F.when(s["det"] != 0, v / s["det"]) for k, v in (("g", s["sx"] * s["dy2"] - s["dx2"] * s["sy"]), ("h", s["dx1"] * s["sy"] - s["sx"] * s["dy1"]))})
-    rows, names = _added(rows, names, lambda s: {"a": s["x1"] - s["x0"] + s["g"] * s["x1"], "b": s["x3"] - s["x0"] + s["h"] * s["x3"], "d": s["y1"] - s["y0"] + s["g"] * s["y1"], "e": s["y3"] - s["y0"] + s["h"] * s["y3"]} | {f"w{k}": s["g"] * s[f"u{k}"] + s["h"] * s[f"v{k}"] + 1.0 for k in range(4)})
-    rows, names = _added(rows, names, lambda s: {f"p{k}": F.when(s[f"w{k}"] != 0, (s["a"] * s[f"u{k}"] + s["b"] * s[f"v{k}"] + s["x0"]) / s[f"w{k}"]) for k in range(4)} | {f"q{k}": F.when(s[f"w{k}"] != 0, (s["d"] * s[f"u{k}"] + s["e"] * s[f"v{k}"] + s["y0"]) / s[f"w{k}"]) for k in range(4)})
-
-    def areas(s):
-        corners = [(s[f"p{k}"], s[f"q{k}"]) for k in range(4)]
-        near = [F.coalesce((x > -0.25 * width) & (x < 1.25 * width) & (y > -0.25 * height) & (y < 1.25 * height), F.lit(False)).cast("int") for x, y in corners]
-        return {"inside": sum(near[1:], near[0]), "whole": F.abs(signed_area(corners))}
-
-    rows, names = _added(rows, names, areas)
-
-    def judged(s):
-        good = (s["inside"] >= 3) & (F.abs(s["own"]) >= LEAST_PAINT * width * height / REFERENCE) & (s["whole"] >= F.abs(s["own"]) * 1.15)
-        value = s["inside"] * 10.0 + F.least(s["whole"] / (width * height), F.lit(2.0)) * 5.0 + s["whole"] / F.abs(s["own"]) + F.when(s["own"] * s["turn"] > 0, 20.0).otherwise(0.0)
-        return {"score": F.when(good, value).otherwise(IMPOSSIBLE)}
-
-    return _added(rows, names, judged)[0]
-
-
-def best_fit(court: Court, xs: Column, ys: Column, width: float, height: float, orders: list[tuple[int, ...]] | None = None) -> Column:
-    """Struct (cost, n, paint, keypoints) of the best candidate, the first of equals; null if none is possible. The cost is the score in millionths, negated.
-
-    The candidates are an array in the row: 4 keypoints have 24 orders, so nothing is joined or shuffled.
+    x, y = [points[:, k, 0] for k in range(4)], [points[:, k, 1] for k in range(4)]
+    paint = paint_quads(court)[quad]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        dx1, dx2, dy1, dy2 = x[1] - x[2], x[3] - x[2], y[1] - y[2], y[3] - y[2]
+        sx, sy = (v[0] - v[1] + v[2] - v[3] for v in (x, y))
+        det = dx1 * dy2 - dx2 * dy1
+        det = np.where(det == 0, np.nan, det)
+        g, h = (sx * dy2 - dx2 * sy) / det, (dx1 * sy - sx * dy1) / det
+        corners = []
+        for u, v in (in_paint(court, paint, p) for p in outline(court)):
+            w = g * u + h * v + 1.0
+            w = np.where(w == 0, np.nan, w)
+            corners.append(tuple(((z[1] - z[0] + g * z[1]) * u + (z[3] - z[0] + h * z[3]) * v + z[0]) / w for z in (x, y)))
+        inside = sum(((p > -0.25 * width) & (p < 1.25 * width) & (q > -0.25 * height) & (q < 1.25 * height)).astype(int) for p, q in corners)
+        own, whole = signed_area([*zip(x, y, strict=True)]), np.abs(signed_area(corners))
+        good = (inside >= 3) & (np.abs(own) >= LEAST_PAINT * width * height / REFERENCE) & (whole >= np.abs(own) * 1.15)
+        value = inside * 10.0 + np.minimum(whole / (width * height), 2.0) * 5.0 + whole / np.abs(own) + np.where(own * signed_area(paint) > 0, 20.0, 0.0)
+    return np.where(good, value, -np.inf)
+
+
+def best_fits(rows: DataFrame, keys: list[str], xs: str, ys: str, court: Court, width: float, height: float, orders: list[tuple[int, ...]] | None = None) -> DataFrame:
+    """(keys, cost, paint, keypoints): of all paints and orders of four keypoints (arrays `xs` and `ys`) the best, the first of
+    equals; rows without a possible one are left out. The cost is the score in millionths, negated.
+
+    Rows are independent, so nothing is shuffled; a batch is scored as arrays, as 48 candidates of a row in column
+    expressions are planned for minutes.
     """
-    rows = scored(court, xs, ys, width, height, orders or [*permutations(range(4))])
-    best = F.array_min(F.transform(rows, lambda s: F.struct(F.floor(-s["score"] * 1000000 + 0.5).alias("cost"), s["n"].alias("n"), s["paint"].alias("paint"), s["keypoints"].alias("keypoints"))))
-    return F.when(best["cost"] <= 0, best)
+    tried = [(q, order) for q in range(len(paint_quads(court))) for order in orders or permutations(range(4))]
+    schema = StructType([rows.schema[k] for k in keys]).add("cost", LongType()).add("paint", IntegerType()).add("keypoints", StringType())
+
+    def run(batches):
+        for part in batches:
+            points = np.stack([np.array([*part[xs]], float).reshape(-1, 4), np.array([*part[ys]], float).reshape(-1, 4)], 2)
+            value = np.stack([scores(court, q, points[:, order], width, height) for q, order in tried], 1)
+            cost = np.floor(-value * 1000000 + 0.5)
+            best, some = cost.argmin(1), cost.min(1) <= 0
+            made = part.loc[some, keys].assign(cost=cost.min(1)[some].astype("int64"))
+            yield made.assign(paint=[tried[k][0] for k in best[some]], keypoints=[",".join(map(str, tried[k][1])) for k in best[some]])
+
+    return rows.select(*keys, xs, ys).where(f"{xs} IS NOT NULL AND {ys} IS NOT NULL").mapInPandas(run, schema)

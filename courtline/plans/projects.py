@@ -53,8 +53,7 @@ SELECT video_id, frame, cost, paint, keypoints FROM (SELECT *, row_number() OVER
 def _fits(spark, d, court):
     point = [(F.expr(f"({x.replace('::double', 'D')}) * {_W}D"), F.expr(f"({y.replace('::double', 'D')}) * {_H}D")) for x, y in _POINTS]
     rows = boxes(spark, d).where("idx = 1").withColumns({"xs": F.array(*[x for x, _ in point]), "ys": F.array(*[y for _, y in point])})
-    fit = overlay.best_fit(court, F.col("xs"), F.col("ys"), _W, _H)
-    return rows.withColumn("fit", fit).where("fit IS NOT NULL").select("video_id", "frame", "fit.cost", "fit.paint", "fit.keypoints")
+    return overlay.best_fits(rows, ["video_id", "frame"], "xs", "ys", court, _W, _H)
 
 
 @query(_fit_sql(overlay.FIBA))
