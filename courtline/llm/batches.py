@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -34,6 +36,26 @@ def slices(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES) -> Iterat
             yield batch.slice(lo, hi - lo)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system, which a long-lived process else keeps."""
+    gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+#: The operator that this Python worker last worked for, and what it keeps over that operator's tasks.
+_KEPT: dict[str, dict] = {}
+
+
+def kept_for(operator: str) -> dict:
+    """Models and caches that this Python worker keeps over an operator's tasks. The first task of another operator forgets them."""
+    if operator not in _KEPT:
+        _KEPT.clear()
+        give_back()
+        _KEPT[operator] = {}
+    return _KEPT[operator]
+
+
 def schema_of(ddl: str) -> StructType:
     return StructType.fromDDL(ddl)
 
@@ -60,6 +82,7 @@ def map_texts(
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_for(make.__module__)
         step = make()
         for batch in batches:
             for part in slices(batch, source):

@@ -9,7 +9,7 @@ import unicodedata
 import regex
 from pyspark.sql import DataFrame
 
-from courtline.llm.batches import map_texts
+from courtline.llm.batches import kept_for, map_texts
 
 #: Entries of the younger half of each cache. When it is full it becomes the older half, whose entries come back when asked for.
 CACHE = 300_000
@@ -162,15 +162,13 @@ def read_definition(path: str) -> str:
         return f.read()
 
 
-#: The models of this Python worker, by definition: caches last over the tasks that a worker runs.
-_MODELS: dict[str, WordBpe] = {}
-
-
 def model_of_worker(definition: str) -> WordBpe:
-    if definition not in _MODELS:
-        _MODELS.clear()
-        _MODELS[definition] = WordBpe(definition)
-    return _MODELS[definition]
+    """The model of this Python worker: its caches last over the tasks that a worker runs, until another operator has it."""
+    kept = kept_for(__name__)
+    if definition not in kept:
+        kept.clear()
+        kept[definition] = WordBpe(definition)
+    return kept[definition]
 
 
 def bpe_round_trip(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:

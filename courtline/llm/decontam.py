@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtline.llm.batches import drop, map_texts, written
+from courtline.llm.batches import drop, kept_for, map_texts, written
 
 WINDOW = 13
 #: Pairs of a window and an item in one automaton (60 MB at most or so); a larger benchmark is scanned in several passes.
@@ -93,15 +93,13 @@ def shards(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterato
     yield own
 
 
-#: The automaton that this Python worker built last, by name: it lasts over the tasks that a worker runs.
-_AUTOMATA: dict[str, ahocorasick.Automaton] = {}
-
-
 def automaton_of_worker(name: str, model) -> ahocorasick.Automaton:
-    if name not in _AUTOMATA:
-        _AUTOMATA.clear()
-        _AUTOMATA[name] = automaton(model.value)
-    return _AUTOMATA[name]
+    """The automaton that this Python worker built last: it lasts over the tasks that a worker runs, until another operator has it."""
+    kept = kept_for(__name__)
+    if name not in kept:
+        kept.clear()
+        kept[name] = automaton(model.value)
+    return kept[name]
 
 
 def decontaminate(

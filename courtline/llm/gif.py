@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtline.llm.batches import map_texts
+from courtline.llm.batches import kept_for, map_texts
 
 #: Stored payloads: samples in a row, rows in a frame at most, hundredths of a second that a frame is shown.
 WIDTH, ROWS, DELAY = 64, 4096, 4
@@ -465,6 +465,7 @@ def read_gifs(df: DataFrame, media: str = "media", keep: list[str] | None = None
         return rows
 
     def run(batches):
+        kept_for(__name__)
         for batch in batches:
             for part in slices(batch, "__media"):
                 rows = rows_of(part.column("__media").to_pylist())

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema as spark_schema
 
-from courtline.llm.batches import binary_lists, drop, map_texts, written
+from courtline.llm.batches import binary_lists, drop, kept_for, map_texts, written
 from courtline.llm.components import connected_components
 from courtline.llm.exchange import Distinct, Runs, chunk_of, chunked, pack_bits, plan, short, unpack_bits, unshort
 from courtline.llm.hashing import mix
@@ -117,6 +117,7 @@ def _chosen(table: pa.Table, chosen: pa.Table, n: int) -> tuple[list[int], list[
 
 def _ask(n: int, buckets: int, bits: int):
     def ask(key: tuple, table: pa.Table, chosen: pa.Table) -> pa.Table:
+        kept_for(__name__)
         _, texts = _chosen(table, chosen, n)
         _, token, _ = tokens(Runs(texts, n, lower=True, whole=True, bits=bits))
         distinct = Distinct(token, buckets)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema as spark_schema
 
-from courtline.llm.batches import binary_lists
+from courtline.llm.batches import binary_lists, kept_for
 from courtline.llm.exchange import Distinct, Runs, bucket_of, chunked, pack_bits, plan, short, unpack_bits, unshort
 from courtline.llm.factoring import Block
 from courtline.llm.hashing import Lexicon, pieces
@@ -71,6 +71,7 @@ def _rle(*values: np.ndarray) -> list[np.ndarray]:
 def _ask(seed: int, buckets: int, bits: int):
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         """One row a bucket: the chunk's distinct seeds, and the first document of each."""
+        kept_for(__name__)
         ids, texts, _ = _ordered(table)
         runs = Runs(texts, seed, lower=False, whole=False, bits=bits)
         distinct = Distinct(runs.first, buckets)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import hashlib
 import math
 from collections import Counter
@@ -16,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtline.llm.batches import binary_lists, map_texts, slices
+from courtline.llm.batches import binary_lists, give_back, kept_for, map_texts, slices
 
 #: Labelled rows used at most, neighbours, queries that are searched for at once, texts kept in a memo.
 MAX_LABELLED, NEIGHBOURS, QUERIES, MEMO = 12_000, 16, 64, 4_000
@@ -24,6 +22,8 @@ MAX_LABELLED, NEIGHBOURS, QUERIES, MEMO = 12_000, 16, 64, 4_000
 COMMON_SHARE, COMMON_ROWS = 16, 64
 #: Rows of a block, groups of like rows that blocks are cut from, and blocks that are looked at first.
 BLOCK, GROUPS, FIRST = 64, 48, 6
+#: Postings that are weighted at once.
+PIECE = 1 << 18
 PREFIX = 4
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 32 if b < 0x30 or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
 
@@ -44,14 +44,32 @@ class Vocabulary:
         self.terms = terms
 
     def __getstate__(self) -> dict:
-        return {"terms": self.terms}  # each worker makes its own tables
+        """One string of all names and their numbers: a worker makes a dictionary only if it looks words up, and only one."""
+        names, numbers = self._listed()
+        return {"names": b" ".join(names), "numbers": numbers}
+
+    def _listed(self) -> tuple[list[bytes], np.ndarray]:
+        if "names" in self.__dict__:
+            return self.names.split(), self.numbers
+        return list(self.terms), np.fromiter(self.terms.values(), np.int32, len(self.terms))
+
+    def __len__(self) -> int:
+        return len(self.numbers) if "numbers" in self.__dict__ else len(self.terms)
+
+    @cached_property
+    def terms(self) -> dict[bytes, int]:
+        names, numbers = self._listed()
+        return dict(zip(names, numbers.tolist(), strict=True))
 
     @cached_property
     def tables(self) -> tuple[dict[bytes, int], np.ndarray, dict[bytes, int]]:
         """Place of each word that is a term, its two terms by place (-1: no prefix), and the prefix terms by their bytes."""
-        heads = {t[1:]: n for t, n in self.terms.items() if t.startswith(b"^")}
-        words = [w for w in self.terms if not w.startswith(b"^")]
-        return {w: k for k, w in enumerate(words)}, np.array([(self.terms[w], heads.get(prefix_term(w)[1:], -1) if len(w) > PREFIX else -1) for w in words], np.int32).reshape(-1, 2), heads
+        names, numbers = self._listed()
+        starts = np.fromiter((t.startswith(b"^") for t in names), bool, len(names))
+        heads = {t[1:]: n for t, n in zip(compress(names, starts), numbers[starts].tolist(), strict=True)}
+        words = list(compress(names, ~starts))
+        prefixes = np.fromiter((heads.get(prefix_term(w)[1:], -1) if len(w) > PREFIX else -1 for w in words), np.int32, len(words))
+        return {w: k for k, w in enumerate(words)}, np.stack((numbers[~starts], prefixes), 1), heads
 
     def counts(self, raw: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         """The known terms of a text in order, and their counts."""
@@ -70,13 +88,14 @@ def _pair(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
 
 def _groups(rows: np.ndarray, rounds: int = 4) -> np.ndarray:
     """The group of each row: nearest of GROUPS centres by the dot product, from evenly spaced rows on."""
-    unit = rows / np.maximum(np.sqrt((rows * rows).sum(1, keepdims=True)), 1e-9)
-    centres = unit[np.linspace(0, len(unit) - 1, min(GROUPS, len(unit))).astype(int)]
+    norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-9)[:, None]
+    first = np.linspace(0, len(rows) - 1, min(GROUPS, len(rows))).astype(int)
+    centres = rows[first] / norm[first]
     for _ in range(rounds):
-        group = (unit @ centres.T).argmax(1)
+        group = (rows @ centres.T).argmax(1)  # a row's length changes nothing here
         for g in range(len(centres)):
             if (own := group == g).any():
-                mean = unit[own].mean(0)
+                mean = (rows[own] / norm[own]).mean(0)
                 centres[g] = mean / max(float(np.sqrt(mean @ mean)), 1e-9)
     return group
 
@@ -132,15 +151,17 @@ class Index:
         column = np.full(len(self.idf), -1, np.int32)
         column[common] = np.arange(len(common))
         row = np.repeat(np.arange(n, dtype=np.int32), self.size)
-        weight = (self._raw(self.term, self.count) / self.norm[row]).astype(np.float32)
-        at = column[self.term]
-        dense = np.zeros((n, len(common)), np.float32)
-        dense[row[at >= 0], at[at >= 0]] = weight[at >= 0]
-        order = np.argsort(_groups(dense), kind="stable")
+        weight, dense = np.empty(len(row), np.float32), np.zeros((n + -n % BLOCK, len(common)), np.float32)
+        for lo in range(0, len(row), PIECE):  # a worker has no room for all postings in double precision
+            own = slice(lo, lo + PIECE)
+            weight[own] = self._raw(self.term[own], self.count[own]) / self.norm[row[own]]
+            at = column[self.term[own]]
+            dense[row[own][at >= 0], at[at >= 0]] = weight[own][at >= 0]
+        order = np.argsort(_groups(dense[:n]), kind="stable")
         place = np.empty(n, np.int32)
         place[order] = np.arange(n)
-        dense = np.concatenate((dense[order], np.zeros((-n % BLOCK, len(common)), np.float32)))
-        rare = np.flatnonzero(at < 0)
+        dense[:n] = dense[order]
+        rare = np.flatnonzero(column[self.term] < 0).astype(np.int32 if len(row) < 1 << 31 else np.int64)
         rare = rare[np.argsort(self.term[rare], kind="stable")]
         freq[common] = 0
         return column, dense, dense.reshape(len(dense) // BLOCK, BLOCK, len(common)).max(1), np.concatenate(([0], np.cumsum(freq))), place[row[rare]], weight[rare], order
@@ -302,7 +323,8 @@ def _document_frequencies(docs: DataFrame, text: str, terms: dict[bytes, int]) -
     words = docs.sparkSession.sparkContext.broadcast(Vocabulary(terms))
 
     def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, n = np.zeros(len(words.value.terms), np.int64), 0
+        kept_for(__name__)
+        have, n = np.zeros(len(words.value), np.int64), 0
         for batch in batches:
             for part in slices(batch, "t"):
                 for raw in binary_lists(part.column("t")):
@@ -351,18 +373,12 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
     return out
 
 
-def give_back() -> None:
-    """Freed memory goes back to the system, which a long-lived driver else keeps."""
-    gc.collect()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
-
-
 def calibrated(spark, index: Index):
     """The index as a broadcast, and a and b of Index.calibrate."""
     model, n = spark.sparkContext.broadcast(index), len(index.ids)
 
     def votes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_for(__name__)
         for batch in batches:
             row = batch.column("id").to_pylist()
             yield pa.RecordBatch.from_pydict({"id": pa.array(row, pa.int64()), "vote": pa.array(model.value.left_out(row), pa.float64())})
