@@ -7,7 +7,7 @@ import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cached_property
-from itertools import compress, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from courtline.llm.batches import binary_lists, give_back, kept_for, map_texts, slices
 
-#: Labelled rows used at most, neighbours, queries that are searched for at once, texts kept in a memo.
-MAX_LABELLED, NEIGHBOURS, QUERIES, MEMO = 12_000, 16, 64, 4_000
+#: Labelled rows used at most, neighbours, queries that are searched for at once, texts whose terms are counted at once, texts kept in a memo.
+MAX_LABELLED, NEIGHBOURS, QUERIES, TEXTS, MEMO = 12_000, 16, 256, 64, 4_000
 #: A term in one of so many rows, and in so many rows, is common: it stands in the dense part of the index.
 COMMON_SHARE, COMMON_ROWS = 16, 64
 #: Rows of a block, groups of like rows that blocks are cut from, and blocks that are looked at first.
@@ -62,23 +62,40 @@ class Vocabulary:
         return dict(zip(names, numbers.tolist(), strict=True))
 
     @cached_property
-    def tables(self) -> tuple[dict[bytes, int], np.ndarray, dict[bytes, int]]:
-        """Place of each word that is a term, its two terms by place (-1: no prefix), and the prefix terms by their bytes."""
+    def tables(self) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, dict[bytes, int]]:
+        """Place of each word that is a term, its term and that of its prefix by place (-1: no prefix), and the prefix terms by their bytes."""
         names, numbers = self._listed()
         starts = np.fromiter((t.startswith(b"^") for t in names), bool, len(names))
         heads = {t[1:]: n for t, n in zip(compress(names, starts), numbers[starts].tolist(), strict=True)}
         words = list(compress(names, ~starts))
         prefixes = np.fromiter((heads.get(prefix_term(w)[1:], -1) if len(w) > PREFIX else -1 for w in words), np.int32, len(words))
-        return {w: k for k, w in enumerate(words)}, np.stack((numbers[~starts], prefixes), 1), heads
+        return {w: k for k, w in enumerate(words)}, numbers[~starts], prefixes, heads
 
     def counts(self, raw: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         """The known terms of a text in order, and their counts."""
-        places, pairs, heads = self.tables
-        words = words_of(raw)
-        at = np.fromiter(map(places.get, words, repeat(-1)), np.int32, len(words))
-        other = [w[:PREFIX] if w[:PREFIX].isascii() else prefix_term(w)[1:] for w in compress(words, at < 0) if len(w) > PREFIX]
-        every = np.concatenate((pairs[at[at >= 0]].ravel(), np.fromiter(map(heads.get, other, repeat(-1)), np.int32, len(other))))
-        return np.unique(every[every >= 0], return_counts=True)
+        return self.counts_of([raw])[0]
+
+    def counts_of(self, texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The known terms of each text in order, and their counts."""
+        return [pair for lo in range(0, len(texts), TEXTS) for pair in self._counted(texts[lo : lo + TEXTS])]
+
+    def _counted(self, texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """All words of some texts are looked up together; a key is the number of a text and that of a term."""
+        places, terms, prefixes, heads = self.tables
+        words = [words_of(t) for t in texts]
+        base = np.arange(len(texts) + 1) * max(len(self), 1)
+        owner = np.repeat(base[:-1], np.fromiter(map(len, words), np.int64, len(words)))
+        every = list(chain.from_iterable(words))
+        at = np.fromiter(map(places.get, every, repeat(-1)), np.int64, len(every))
+        new, at = at < 0, at[at >= 0]
+        other = [heads.get(w[:PREFIX] if w[:PREFIX].isascii() else prefix_term(w)[1:], -1) if len(w) > PREFIX else -1 for w in compress(every, new.tolist())]
+        known, prefix, other = owner[~new], prefixes[at], np.array(other, np.int64)
+        keys = np.concatenate((known + terms[at], known[prefix >= 0] + prefix[prefix >= 0], owner[new][other >= 0] + other[other >= 0]))
+        keys.sort()
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        count, keys = np.diff(first, append=len(keys)).astype(np.int32), keys[first]
+        ends = np.searchsorted(keys, base).tolist()
+        return [((keys[a:b] - lo).astype(np.int32), count[a:b]) for a, b, lo in zip(ends, ends[1:], base.tolist(), strict=False)]
 
 
 def _pair(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +120,9 @@ def _groups(rows: np.ndarray, rounds: int = 4) -> np.ndarray:
 def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """All numbers of the ranges that begin there and have that many."""
     ends = np.cumsum(size)
-    return np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+    out = np.repeat(begin - ends + size, size)
+    out += np.arange(len(out))
+    return out
 
 
 class Index:
@@ -144,8 +163,9 @@ class Index:
 
     @cached_property
     def search(self) -> tuple[np.ndarray, ...]:
-        """Column of each term in the dense part (-1: none), the dense part and its maxima by block, where postings begin, their
-        rows and weights, and the row that stands in each place: places are dealt to groups of like rows, the last block is filled up."""
+        """Column of each term in the dense part (-1: none), the dense part and its maxima by block, where postings begin, the
+        postings (the place as an int32 and the weight as a float32, of which 8 bytes are read at once), and the row that stands
+        in each place: places are dealt to groups of like rows, the last block is filled up."""
         n, freq = len(self.ids), np.bincount(self.term, minlength=len(self.idf))
         common = np.flatnonzero((freq * COMMON_SHARE >= n) & (freq >= COMMON_ROWS))
         column = np.full(len(self.idf), -1, np.int32)
@@ -164,7 +184,9 @@ class Index:
         rare = np.flatnonzero(column[self.term] < 0).astype(np.int32 if len(row) < 1 << 31 else np.int64)
         rare = rare[np.argsort(self.term[rare], kind="stable")]
         freq[common] = 0
-        return column, dense, dense.reshape(len(dense) // BLOCK, BLOCK, len(common)).max(1), np.concatenate(([0], np.cumsum(freq))), place[row[rare]], weight[rare], order
+        postings = np.empty(len(rare), np.int64)
+        postings.view(np.int32)[::2], postings.view(np.float32)[1::2] = place[row[rare]], weight[rare]
+        return column, dense, dense.reshape(len(dense) // BLOCK, BLOCK, len(common)).max(1), np.concatenate(([0], np.cumsum(freq))), postings, order
 
     def nearest(self, counts: dict[int, int], k: int = NEIGHBOURS) -> list[tuple[float, int, float]]:
         return self.nearest_of([_pair(counts)], k)[0]
@@ -177,38 +199,42 @@ class Index:
         """
         if not queries or not len(self.ids):
             return [[] for _ in queries]
-        column, most = self.search[0], self.search[2]
-        units = [raw / (math.sqrt(float(raw @ raw)) or 1.0) for raw in (self._raw(*q) for q in queries)]
+        column, _, most, begin, _, order = self.search
+        cut = np.cumsum([0, *(len(q[0]) for q in queries)])
+        term, owner = np.concatenate([q[0] for q in queries]), np.repeat(np.arange(len(queries)), np.diff(cut))
+        raw = self._raw(term, np.concatenate([q[1] for q in queries]))
+        norm = np.sqrt(np.bincount(owner, raw * raw, minlength=len(queries)))
+        unit, at = raw / np.where(norm > 0, norm, 1)[owner], column[term]
         asked = np.zeros((len(queries), most.shape[1]), np.float32)
-        for j, ((term, _), unit) in enumerate(zip(queries, units, strict=True)):
-            at = column[term]
-            asked[j, at[at >= 0]] = unit[at >= 0]
+        asked[owner[at >= 0], at[at >= 0]] = unit[at >= 0]
+        few = np.flatnonzero(at < 0)
+        first, size, part = begin[term[few]], begin[term[few] + 1] - begin[term[few]], unit[few]
+        ends = np.searchsorted(few, cut).tolist()
+        lists = [(first[a:b], size[a:b], part[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
         bound, whole = asked @ most.T, np.zeros(len(self.idf))
-        place = np.argsort(self.search[-1])[leave] if leave is not None else None
+        place = np.argsort(order)[leave] if leave is not None else None
         out: list[list[tuple[float, int, float]]] = [[] for _ in queries]
         like = np.argsort(bound.argmax(1), kind="stable")  # queries that want the same blocks go together
         for own in np.split(like, range(QUERIES, len(like), QUERIES)):
-            scores, least = self._scores([queries[i][0] for i in own], [units[i] for i in own], asked[own], bound[own], k, None if leave is None else place[own])
+            scores, least = self._scores([lists[i] for i in own], asked[own], bound[own], k, None if leave is None else place[own])
             for i, score, floor in zip(own.tolist(), scores, least.tolist(), strict=True):
-                term = queries[i][0]
-                whole[term] = units[i]
-                out[i] = self._exact(whole, len(term), score, floor, k)
-                whole[term] = 0
+                terms = term[cut[i] : cut[i + 1]]
+                whole[terms] = unit[cut[i] : cut[i + 1]] * self.idf[terms]
+                out[i] = self._exact(whole, len(terms), score, floor, k)
+                whole[terms] = 0
         return out
 
-    def _scores(self, terms: list[np.ndarray], units: list[np.ndarray], asked: np.ndarray, bound: np.ndarray, k: int, leave: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines by place (those of skipped blocks are 0), and a bound of the k-th best of each query."""
-        column, dense, most, begin, places, weights, _ = self.search
-        n, n_blocks, every = len(dense), len(most), np.arange(len(terms))
-        rare = np.zeros((len(terms), n), np.float32)
-        for j, (term, unit) in enumerate(zip(terms, units, strict=True)):
-            at = column[term]
-            first, last = begin[term[at < 0]], begin[term[at < 0] + 1]
-            lists = list(zip(first.tolist(), last.tolist(), strict=True))
-            if lists:
-                weight = np.concatenate([weights[a:b] for a, b in lists]) * np.repeat(unit[at < 0].astype(np.float32), last - first)
-                rare[j] = np.bincount(np.concatenate([places[a:b] for a, b in lists]), weight, minlength=n)
-        bound = (bound + rare.reshape(len(terms), n_blocks, BLOCK).max(2)) * (1 + 1e-4) + 1e-7
+    def _scores(self, lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]], asked: np.ndarray, bound: np.ndarray, k: int, leave: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines by place (those of skipped blocks are 0), and a bound of the k-th best of each query. lists: where the postings of
+        each query's rare terms begin, their number, and the query's weight of the term."""
+        _, dense, most, _, postings, _ = self.search
+        n, n_blocks, every = len(dense), len(most), np.arange(len(lists))
+        rare = np.zeros((len(lists), n), np.float32)
+        for j, (first, size, unit) in enumerate(lists):
+            if len(size):
+                own = postings[_ranges(first, size)]
+                rare[j] = np.bincount(own.view(np.int32)[::2], np.repeat(unit, size) * own.view(np.float32)[1::2], minlength=n)
+        bound = (bound + rare.reshape(len(lists), n_blocks, BLOCK).max(2)) * (1 + 1e-4) + 1e-7
         scores = np.zeros_like(rare)
 
         def look(wanted: np.ndarray) -> None:
@@ -222,24 +248,27 @@ class Index:
         first = np.zeros(n_blocks, bool)
         first[top] = True
         look(first)
-        seen = np.take_along_axis(scores.reshape(len(terms), n_blocks, BLOCK), top[:, :, None], 1).reshape(len(terms), -1)
-        least = (np.partition(seen, -k, axis=1)[:, -k] if seen.shape[1] >= k else np.zeros(len(terms))) * (1 - 1e-4)
+        seen = np.take_along_axis(scores.reshape(len(lists), n_blocks, BLOCK), top[:, :, None], 1).reshape(len(lists), -1)
+        least = (np.partition(seen, -k, axis=1)[:, -k] if seen.shape[1] >= k else np.zeros(len(lists))) * (1 - 1e-4)
         look((bound >= least[:, None]).any(0) & ~first)
         return scores, least
 
     def _exact(self, whole: np.ndarray, n_terms: int, score: np.ndarray, floor: float, k: int) -> list[tuple[float, int, float]]:
+        """whole: by term, the query's weight times the IDF."""
         near = np.flatnonzero(score >= floor if floor > 0 else score > 0)
         if len(near) > k:
             # all summands are positive: the relative error is at most the number of terms times that of one operation
             near = near[score[near] >= np.partition(score[near], -k)[-k] * (1 - 2.4e-7 * (n_terms + 8)) - 2e-9]
+        if not len(near):
+            return []
         near = np.sort(self.search[-1][near])
-        where = _ranges(self.begin[near], self.size[near])
-        own = np.repeat(np.arange(len(near)), self.size[near])
-        hit = np.flatnonzero(whole[self.term[where]])
-        where, own = where[hit], own[hit]
-        exact = np.bincount(own, whole[self.term[where]] * self._raw(self.term[where], self.count[where]) / self.norm[near[own]], minlength=len(near))
-        found = [(round(float(s), 9), int(self.ids[r]), float(self.labels[r])) for s, r in zip(exact, near, strict=True)]
-        return sorted(found, key=lambda x: (-x[0], x[1]))[:k]
+        size = self.size[near]
+        where = _ranges(self.begin[near], size)
+        products = whole[self.term[where]]
+        products *= 1 + np.log(self.count[where])
+        exact = np.round(np.add.reduceat(products, np.cumsum(size) - size) / self.norm[near], 9)
+        best = np.lexsort((self.ids[near], -exact))[:k]
+        return list(zip(exact[best].tolist(), self.ids[near[best]].tolist(), self.labels[near[best]].tolist(), strict=True))
 
     def vote(self, found: list[tuple[float, int, float]]) -> float:
         """Labels weighted by nearness, 1 / (distance + 0.1), with one neutral vote at the base rate."""
@@ -273,7 +302,7 @@ class Index:
         if len(memo) > MEMO:
             memo.clear()
         todo = {k: t for k, t in zip(keys, texts, strict=True) if k not in memo}
-        counts = {k: self.words.counts(t) for k, t in todo.items()}
+        counts = dict(zip(todo, self.words.counts_of([*todo.values()]), strict=True))
         some = [k for k, c in counts.items() if len(c[0])]
         done = dict.fromkeys(counts, ((self.rate if self.empty_rate is None else self.empty_rate), []))
         for k, found in zip(some, self.nearest_of([counts[k] for k in some]), strict=True):
@@ -327,10 +356,10 @@ def _document_frequencies(docs: DataFrame, text: str, terms: dict[bytes, int]) -
         have, n = np.zeros(len(words.value), np.int64), 0
         for batch in batches:
             for part in slices(batch, "t"):
-                for raw in binary_lists(part.column("t")):
-                    if raw:
-                        n += 1
-                        have[words.value.counts(raw)[0]] += 1
+                texts = [raw for raw in binary_lists(part.column("t")) if raw]
+                n += len(texts)
+                for term, _ in words.value.counts_of(texts):
+                    have[term] += 1
         some = np.flatnonzero(have)
         yield pa.RecordBatch.from_pydict({"term": pa.array(np.append(some, -1), pa.int32()), "n": pa.array(np.append(have[some], n), pa.int64())})
 
